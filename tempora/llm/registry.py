@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, exact, host_rules, near, packing, token_output
+from . import classifier, exact, host_rules, mixing, near, packing, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (token_output.op1_token_output, near.op3_minhash_near_dedup, host_rules.op5_quality_rules, packing.op7_best_fit_packing, exact.op9_exact_dedup, classifier.op10_quality_classifier)
+    found = (token_output.op1_token_output, mixing.op2_mixing, near.op3_minhash_near_dedup, host_rules.op5_quality_rules, packing.op7_best_fit_packing, exact.op9_exact_dedup, classifier.op10_quality_classifier)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact.OP9_SQL}
+    return {"op2_mixing": mixing.OP2_SQL, "op9_exact_dedup": exact.OP9_SQL}
