@@ -8,6 +8,7 @@ literal of a special token) is encoded whole.  Both give the ids of ``encode(tex
 
 from __future__ import annotations
 
+import array
 import functools
 import os
 from collections.abc import Iterator
@@ -15,6 +16,14 @@ from collections.abc import Iterator
 import numpy as np
 
 MARKS = frozenset(".,")
+#: The public byte-level alphabet: printable bytes stand for themselves, the others follow at 256.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTERS = {b: b if b in PRINTABLE else 256 + sum(x not in PRINTABLE for x in range(b)) for b in range(256)}
+
+
+def plain(word: str) -> bool:
+    """Whether a word is letters only, all of them in blocks that no library's tables differ on."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
 
 
 class Encoder:
@@ -38,8 +47,13 @@ class Encoder:
 
     def _splits(self) -> bool:
         """Whether this tokenizer treats words apart, as byte-level BPE without prefix space does."""
-        probe = "One two,\nthree. 4th"
-        return self.whole(probe) == b"".join(map(self.whole, ("One", " two", ",", "\n", "three", ".", " 4", "th")))
+        probe = "One two,\nthree. 4th caf\u00e9"
+        parts = ("One", " two", ",", "\n", "three", ".", " 4", "th", " caf\u00e9")
+        return self.whole(probe) == b"".join(map(self.whole, parts)) and all(self.letters(x) == self.whole(x) for x in ("One", " two", " caf\u00e9"))
+
+    def letters(self, token: str) -> bytes:
+        """The ids of one pre-token, from the library's model alone."""
+        return array.array("I", [t.id for t in self.tokenizer.model.tokenize(token.encode().decode("latin-1").translate(LETTERS))]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.line is None:
@@ -66,12 +80,21 @@ class Encoder:
         for w in used.difference(young):
             if (known := old.get(w)) is not None:
                 young[w] = known
-            elif w[-1] in MARKS and w[-2:-1].isalpha():
+            elif w[-1] in MARKS and plain(w[-2:-1]):
                 marked.append(w)  # a letter, then one mark: two pre-tokens
             else:
                 missing.append(w)
-        bases = {w[:-1] for w in marked}
-        missing = list(dict.fromkeys([*missing, *(b for b in bases if b not in young)]))
+        line, others = array.array("I", [self.line]).tobytes(), []
+        for w in dict.fromkeys([*missing, *(w[:-1] for w in marked)]):
+            if w in young:
+                continue
+            if w[0] == "\n" and plain(w[1:]):
+                young[w] = line + self.letters(w[1:])
+            elif plain(w):
+                young[w] = self.letters(" " + w)
+            else:
+                others.append(w)
+        missing = others
         for a in range(0, len(missing), 4096):
             some = missing[a : a + 4096]
             # each word on a line of its own, with the space before it that it has in its text
@@ -80,7 +103,7 @@ class Encoder:
             ends = np.append(np.flatnonzero(ids == self.line), len(ids)).tolist()
             if len(ends) != len(some):
                 raise ValueError("the tokenizer's line feeds don't separate words")
-            raw, line, at = ids.tobytes(), np.array([self.line], "<u4").tobytes(), 0
+            raw, at = ids.tobytes(), 0
             for w, end in zip(some, ends, strict=True):
                 young[w] = line + raw[4 * at : 4 * end] if w[0] == "\n" else raw[4 * at : 4 * end]
                 at = end + 1
