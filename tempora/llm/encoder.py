@@ -63,7 +63,7 @@ class Encoder:
         split: list[list[str] | None] = []
         used: set[str] = set()
         for t in texts:
-            if t and len(t.split()) == t.count(" ") + t.count("\n") + 1 and not any(s in t for s in self.special):
+            if t and t.split() == t.replace("\n", " ").split(" ") and not any(s in t for s in self.special):
                 words = ("\n" + t.replace("\n", " \n")).split(" ")
                 used.update(words)
                 split.append(words)

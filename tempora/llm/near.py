@@ -8,12 +8,16 @@ coordinates are bucket keys; 48 bands miss a pair at a similarity of 0.75 with a
 (1 - 0.75^5)^48, about 2e-6, and more similar pairs more rarely.  Whatever shares a bucket is
 compared on full sets.
 
-No bucket is expanded into all its pairs.  Texts with equal sets are one node.  First each node
-of a bucket is compared with the bucket's least node; components of the links found so far
-make most buckets uniform.  Buckets that still hold several components are compared across
-components if they have at most ``small`` nodes; larger ones are compared with their least node
-again and split by a second (third) band key, as a linked pair shares ten bands on average; what
-is left at the last level is compared in full.  No candidate is dropped for a bucket's size.
+No bucket is expanded into all its pairs.  Texts with equal sets are one node, and buckets with
+the same nodes are one bucket.  A bucket's nodes are compared in groups of at most ``block`` by
+their signatures (a byte of each coordinate), the bucket's least node being in each group: pairs
+that agree in 87 % of the coordinates are linked for all practical purposes, and of those a
+spanning forest is a candidate.  Candidates are confirmed on full sets, and the links' components
+make most buckets uniform.  Buckets that still hold several components are compared block by
+block, across components only; a candidate is then every pair that agrees in 62 % of the
+coordinates, 4.5 standard deviations below 0.75.  Buckets of more than ``most`` blocks are first
+split by a second and third band key, as a linked pair shares ten bands on average; what is left
+at the last level is compared in full.  No candidate is dropped for a bucket's size.
 
 Null and empty texts have an empty set and are linked with nothing.  Rows with a null id are
 linked with nothing, have a null component and stay.  Rows that repeat an id are each returned;
@@ -23,6 +27,7 @@ result; further columns are not looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.functions.session import cut, discard, partitions, prepare, table_bytes
+from tempora.functions.session import cut, discard, prepare, table_bytes
 
 from .components import components
 
@@ -107,25 +112,27 @@ def _signed(x: int) -> int:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
-    """doc_id, n (size of the set), two digests of the set, and its band keys."""
+    """doc_id, n (size of the set), two digests of the set, its band keys and a byte of each coordinate."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
-                n, d1, d2, keys = [], [], [], []
+                n, d1, d2, keys, bytes_ = [], [], [], [], []
                 for text in part.column(1).to_pylist():
                     s = shingles(text or "", words)
                     n.append(len(s))
                     with np.errstate(over="ignore"):
                         d1.append(_signed(int(s.sum(dtype=np.uint64)) & MASK))
                         d2.append(_signed(int(np.bitwise_xor.reduce(mix64(s * PRIME)) if len(s) else 0)))
-                    keys.append(band_keys(signature(s, bands * rows), bands, rows) if len(s) else np.zeros(0, np.int64))
+                    sig = signature(s, bands * rows)
+                    keys.append(band_keys(sig, bands, rows) if len(s) else np.zeros(0, np.int64))
+                    bytes_.append((sig >> np.uint32(24) ^ sig & np.uint32(255)).astype(np.uint8).tobytes())
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists], names=["doc_id", "n", "d1", "d2", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists, pa.array(bytes_, pa.binary())], names=["doc_id", "n", "d1", "d2", "bands", "sig"])
 
-    return docs.mapInArrow(sign, "doc_id long, n long, d1 long, d2 long, bands array<long>")
+    return docs.mapInArrow(sign, "doc_id long, n long, d1 long, d2 long, bands array<long>, sig binary")
 
 
 def set_table(docs: DataFrame, words: int) -> DataFrame:
@@ -148,7 +155,7 @@ def _some(df: DataFrame, broadcast_bytes: int) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, percent: int, words: int, broadcast_bytes: int) -> DataFrame:
-    """Those of the written ``pairs`` (a, b, na, nb) that are linked, by comparing whole sets."""
+    """Those of the written ``pairs`` (a, b) that are linked, by comparing whole sets."""
     ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
     sets = cut(set_table(docs.join(_some(ids, broadcast_bytes), "doc_id", "left_semi").select("doc_id", "text"), words), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b")
@@ -159,12 +166,70 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int, words: int, broadc
     return links
 
 
-def _fits(na, nb, percent: int):
-    """Sets of these sizes can reach the similarity at all."""
-    return F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, small: int = 64, levels: int = 3, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def agreeing(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sigs: np.ndarray, percent: int, unsure: int) -> list[tuple[int, int]]:
+    """Candidate pairs of a group: a spanning forest, over the given labels, of the pairs that agree
+    almost surely; then, in groups of at most ``unsure`` nodes, all pairs between different trees
+    that may be linked."""
+    coordinates = sigs.shape[1]
+    sure, may = math.ceil(0.87 * coordinates), math.floor(0.624 * coordinates)
+    root = {x: x for x in labels.tolist()}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out, doubtful, own = [], [], labels.tolist()
+    for j in range(1, len(nodes)):
+        same = (sigs[:j] == sigs[j]).sum(1)
+        fits = 100 * np.minimum(sizes[:j], sizes[j]) >= percent * np.maximum(sizes[:j], sizes[j])
+        for i in np.flatnonzero((same >= may) & fits & (labels[:j] != labels[j])).tolist():
+            if same[i] < sure:
+                doubtful.append((i, j))
+            elif find(own[i]) != find(own[j]):
+                root[find(own[i])] = find(own[j])
+                out.append((i, j))
+    if len(nodes) <= unsure:
+        out += [(i, j) for i, j in doubtful if find(own[i]) != find(own[j])]
+    return [(min(a, b), max(a, b)) for a, b in ((int(nodes[i]), int(nodes[j])) for i, j in out) if a != b]
+
+
+def candidates(rows: DataFrame, percent: int, unsure: int) -> DataFrame:
+    """Distinct candidate pairs (a, b) of the groups ``g`` of rows (g, node, n, label, sig)."""
+    rows = rows.select("g", "node", "n", "label", "sig").repartition("g").sortWithinPartitions("g")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+            g = table.column(0).to_numpy()
+            ends = [*(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist()]
+            rest = table.slice(ends[-1] if ends else 0)
+            yield from groups(table, ends)
+        if rest is not None:
+            yield from groups(rest, [rest.num_rows])
+
+    def groups(table: pa.Table, ends: list[int]) -> Iterator[pa.RecordBatch]:
+        nodes, sizes, labels = (table.column(k).to_numpy() for k in (1, 2, 3))
+        raw, at, found = table.column(4).to_pylist(), 0, []
+        for end in ends:
+            if end - at > 1:
+                sigs = np.frombuffer(b"".join(raw[at:end]), np.uint8).reshape(end - at, -1)
+                found += agreeing(nodes[at:end], sizes[at:end], labels[at:end], sigs, percent, unsure)
+            at = end
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return rows.mapInArrow(compare, "a long, b long").distinct()
+
+
+def buckets(spread: DataFrame) -> DataFrame:
+    """Keys that several nodes share: least node and number of nodes; one key for equal node sets."""
+    shared = spread.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("nodes"), F.bit_xor(F.xxhash64("node")).alias("all")).filter("least < most")
+    return shared.groupBy("least", "most", "nodes", "all").agg(F.min("key").alias("key")).select("key", "least", "nodes")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, block: int = 192, most: int = 32, levels: int = 3, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """Every row: doc_id, n_shingles, component_id, kept."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -172,52 +237,76 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # one node for each set: its least id
     sets = cut(signed.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "nodes")
     joined = signed.filter("n > 0 and doc_id is not null").join(sets, ["d1", "d2", "n"])
-    members = cut(joined.select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
-    banded = members.filter("bands is not null").select(F.col("doc_id").alias("node"), "n", "bands")
-
-    spread = banded.select("node", "n", F.explode("bands").alias("key"))
-    shared = cut(spread.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.max("node").alias("most")).filter("least.node < most").select("key", "least"), "shared")
-    cells = cut(spread.join(_some(shared, 1 << 18), "key").select("key", "node", "n", "least"), "cells")
-
-    star = cells.filter(F.col("node") != F.col("least.node")).select(F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.n").alias("na"), F.col("n").alias("nb"))
-    pairs = cut(star.filter(_fits(F.col("na"), F.col("nb"), percent)).distinct(), "pairs")
-    links = verified(docs, pairs, percent, words, broadcast_bytes)
-    discard(pairs, shared)
-    found = [links]
-    labels = cut(components(links), "labels")
+    is_rep = F.col("doc_id") == F.col("rep")
+    members = cut(joined.select("doc_id", "n", "rep", F.when(is_rep, F.col("bands")).alias("bands"), F.when(is_rep, F.col("sig")).alias("sig")), "members")
+    rest = cut(signed.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")), "rest")
+    discard(signed, sets)
+    banded = members.filter("bands is not null").select(F.col("doc_id").alias("node"), "n", "bands", "sig").dropDuplicates(["node"])
+    banded = cut(banded, "banded")
+
+    spread = banded.select("node", F.explode("bands").alias("key"))
+    labels = None
+    found: list[DataFrame] = []
+
+    def link(pairs: DataFrame) -> None:
+        """Confirm candidates and bring the labels up to date."""
+        nonlocal labels
+        pairs = cut(pairs, "pairs")
+        if not pairs.isEmpty():
+            more = verified(docs, pairs, percent, words, broadcast_bytes)
+            if not more.isEmpty():
+                found.append(more)
+                every = found[0]
+                for x in found[1:]:
+                    every = every.union(x)
+                old, labels = labels, cut(components(every), "labels")
+                if old is not None:
+                    discard(old)
+        discard(pairs)
+
+    def labelled(cells: DataFrame) -> DataFrame:
+        if labels is None:
+            return cells.withColumn("label", F.col("node"))
+        return cells.join(_some(labels, 1 << 18), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
     for level in range(levels):
-        named = cells.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("node", "n", "label")).alias("least"), F.count("*").alias("nodes")).filter("low < high")
-        mixed = cut(mixed.select("key", "least", "nodes"), "mixed")
+        shared = cut(buckets(spread), "shared")
+        if shared.isEmpty():
+            break
+        cells = spread.join(_some(shared, 1 << 18), "key").select("key", "node", "least", "nodes")
+        cells = cut(cells.join(banded.select("node", "n", "sig"), "node").select("key", "node", "least", "nodes", "n", "sig"), "cells")
+        blocks = F.ceil(F.col("nodes") / F.lit(block)).cast("int")
+        salt = F.pmod(F.xxhash64("key", "node"), blocks).cast("int")
+        every = F.sequence(F.lit(0), blocks - 1)
+
+        # the least node is in every block, so that what is like it meets over the blocks
+        first = labelled(cells).withColumn("block", F.explode(F.when(F.col("node") == F.col("least"), every).otherwise(F.array(salt))))
+        link(candidates(first.withColumn("g", F.xxhash64("key", "block")), percent, 16))
+
+        named = labelled(cells)
+        mixed = cut(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key"), "mixed")
         if mixed.isEmpty():
             break
-        live = cut(named.join(_some(mixed, 1 << 18), "key").select("key", "node", "n", "label", "least", "nodes"), "live")
+        live = cut(named.join(_some(mixed, 1 << 18), "key").select("key", "node", "nodes", "n", "label", "sig"), "live")
         last = level == levels - 1
-        few = live if last else live.filter(F.col("nodes") <= small)
-        left = few.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-        right = few.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        cross = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _fits(F.col("na"), F.col("nb"), percent)).select("a", "b", "na", "nb")
-        many = live.filter(F.col("nodes") > small)
-        star = many.filter((F.col("least.label") != F.col("label")) & _fits(F.col("least.n"), F.col("n"), percent)).select(F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.n").alias("na"), F.col("n").alias("nb"))
-        pairs = cut((cross if last else cross.union(star)).distinct(), "pairs")
-        more = verified(docs, pairs, percent, words, broadcast_bytes)
-        if not more.isEmpty():
-            found.append(more)
-            old, links = labels, found[0]
-            for x in found[1:]:
-                links = links.union(x)
-            labels = cut(components(links), "labels")
-            discard(old)
+        few = live if last else live.filter(F.col("nodes") <= block * most)
+        # every pair of blocks: a node meets all nodes of its bucket once
+        other = F.explode(F.transform(every, lambda x: F.xxhash64(F.col("key"), F.least(salt, x), F.greatest(salt, x))))
+        link(candidates(few.withColumn("g", other), percent, 1 << 30))
+        many = live.filter(F.col("nodes") > block * most)
         if last or many.isEmpty():
             break
         # a second band key beside the first splits the buckets that are still too large
-        again = many.select("key", "node", "n").join(banded.select("node", "bands"), "node")
-        again = again.select("node", "n", F.col("key").alias("first"), F.explode("bands").alias("band")).select("node", "n", F.xxhash64("first", "band").alias("key"))
-        cells = cut(again.select("key", "node", "n"), "cells")
-
-    rest = signed.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    linked = members.select("doc_id", "n", "rep").join(_some(labels, 1 << 18).withColumnRenamed("node", "rep"), "rep", "left")
+        again = many.select("key", "node").join(banded.select("node", "bands"), "node")
+        again = again.select("node", F.col("key").alias("first"), F.explode("bands").alias("band"))
+        spread = cut(again.select("node", F.xxhash64("first", "band").alias("key")).distinct(), "again")
+        discard(cells, live, mixed, shared)
+
+    linked = members.select("doc_id", "n", "rep")
+    if labels is None:
+        linked = linked.withColumn("label", F.col("rep"))
+    else:
+        linked = linked.join(_some(labels, 1 << 18).withColumnRenamed("node", "rep"), "rep", "left")
     linked = linked.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
     out = linked.union(rest)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
