@@ -15,7 +15,8 @@ that agree in 87 % of the coordinates are linked for all practical purposes, and
 spanning forest is a candidate.  Candidates are confirmed on full sets, and the links' components
 make most buckets uniform.  Buckets that still hold several components are compared block by
 block, across components only; a candidate is then every pair that agrees in 62 % of the
-coordinates, 4.5 standard deviations below 0.75.  Buckets of more than ``most`` blocks are first
+coordinates, 4.5 standard deviations below 0.75: first the best of each two components, which
+mostly joins them, then all that are left.  Buckets of more than ``most`` blocks are first
 split by a second and third band key, as a linked pair shares ten bands on average; what is left
 at the last level is compared in full.  No candidate is dropped for a bucket's size.
 
@@ -166,10 +167,10 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int, words: int, broadc
     return links
 
 
-def agreeing(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sigs: np.ndarray, percent: int, unsure: int) -> list[tuple[int, int]]:
+def agreeing(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sigs: np.ndarray, percent: int, unsure: str) -> list[tuple[int, int]]:
     """Candidate pairs of a group: a spanning forest, over the given labels, of the pairs that agree
-    almost surely; then, in groups of at most ``unsure`` nodes, all pairs between different trees
-    that may be linked."""
+    almost surely; then those between different trees that may be linked: all of them, the best for
+    each two labels (``best``), or, in larger groups, none yet (``few``)."""
     coordinates = sigs.shape[1]
     sure, may = math.ceil(0.87 * coordinates), math.floor(0.624 * coordinates)
     root = {x: x for x in labels.tolist()}
@@ -189,12 +190,19 @@ def agreeing(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sigs: np.
             elif find(own[i]) != find(own[j]):
                 root[find(own[i])] = find(own[j])
                 out.append((i, j))
-    if len(nodes) <= unsure:
-        out += [(i, j) for i, j in doubtful if find(own[i]) != find(own[j])]
+    if unsure != "few" or len(nodes) <= 16:
+        doubtful = [(i, j) for i, j in doubtful if find(own[i]) != find(own[j])]
+        if unsure == "best":
+            top: dict[tuple[int, int], tuple[int, int, int]] = {}
+            for i, j in doubtful:
+                two = (find(own[i]), find(own[j]))
+                top[two] = max(top.get(two, (-1, 0, 0)), (int((sigs[i] == sigs[j]).sum()), i, j))
+            doubtful = [(i, j) for _, i, j in top.values()]
+        out += doubtful
     return [(min(a, b), max(a, b)) for a, b in ((int(nodes[i]), int(nodes[j])) for i, j in out) if a != b]
 
 
-def candidates(rows: DataFrame, percent: int, unsure: int) -> DataFrame:
+def candidates(rows: DataFrame, percent: int, unsure: str) -> DataFrame:
     """Distinct candidate pairs (a, b) of the groups ``g`` of rows (g, node, n, label, sig)."""
     rows = rows.select("g", "node", "n", "label", "sig").repartition("g").sortWithinPartitions("g")
 
@@ -281,26 +289,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
         # the least node is in every block, so that what is like it meets over the blocks
         first = labelled(cells).withColumn("block", F.explode(F.when(F.col("node") == F.col("least"), every).otherwise(F.array(salt))))
-        link(candidates(first.withColumn("g", F.xxhash64("key", "block")), percent, 16))
-
-        named = labelled(cells)
-        mixed = cut(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key"), "mixed")
-        if mixed.isEmpty():
-            break
-        live = cut(named.join(_some(mixed, 1 << 18), "key").select("key", "node", "nodes", "n", "label", "sig"), "live")
-        last = level == levels - 1
-        few = live if last else live.filter(F.col("nodes") <= block * most)
-        # every pair of blocks: a node meets all nodes of its bucket once
-        other = F.explode(F.transform(every, lambda x: F.xxhash64(F.col("key"), F.least(salt, x), F.greatest(salt, x))))
-        link(candidates(few.withColumn("g", other), percent, 1 << 30))
-        many = live.filter(F.col("nodes") > block * most)
-        if last or many.isEmpty():
+        link(candidates(first.withColumn("g", F.xxhash64("key", "block")), percent, "few"))
+
+        # across components: first the best pair of each two, as one link joins them, then the rest
+        last, many = level == levels - 1, None
+        for unsure in ("best", "all"):
+            named = labelled(cells)
+            mixed = cut(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key"), "mixed")
+            if mixed.isEmpty():
+                break
+            live = cut(named.join(_some(mixed, 1 << 18), "key").select("key", "node", "nodes", "n", "label", "sig"), "live")
+            few = live if last else live.filter(F.col("nodes") <= block * most)
+            # every pair of blocks: a node meets all nodes of its bucket once
+            other = F.explode(F.transform(every, lambda x: F.xxhash64(F.col("key"), F.least(salt, x), F.greatest(salt, x))))
+            link(candidates(few.withColumn("g", other), percent, unsure))
+            many = None if last else live.filter(F.col("nodes") > block * most)
+        if mixed.isEmpty() or many is None or many.isEmpty():
             break
         # a second band key beside the first splits the buckets that are still too large
         again = many.select("key", "node").join(banded.select("node", "bands"), "node")
         again = again.select("node", F.col("key").alias("first"), F.explode("bands").alias("band"))
         spread = cut(again.select("node", F.xxhash64("first", "band").alias("key")).distinct(), "again")
-        discard(cells, live, mixed, shared)
+        discard(cells, shared)
 
     linked = members.select("doc_id", "n", "rep")
     if labels is None:
