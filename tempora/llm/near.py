@@ -14,7 +14,7 @@ their signatures (a byte of each coordinate), the bucket's least node being in e
 that agree in 87 % of the coordinates are linked for all practical purposes, and of those a
 spanning forest is a candidate.  Candidates are confirmed on full sets, and the links' components
 make most buckets uniform.  Buckets that still hold several components are compared block by
-block, across components only; a candidate is then every pair that agrees in 62 % of the
+block, across components only, the largest component's nodes never among themselves; a candidate is then every pair that agrees in 62 % of the
 coordinates, 4.5 standard deviations below 0.75: first the best of each two components, which
 mostly joins them, then all that are left.  Buckets of more than ``most`` blocks are first
 split by a second and third band key, as a linked pair shares ten bands on average; what is left
@@ -237,6 +237,25 @@ def buckets(spread: DataFrame) -> DataFrame:
     return shared.groupBy("least", "most", "nodes", "all").agg(F.min("key").alias("key")).select("key", "least", "nodes")
 
 
+def dealt(live: DataFrame, block: int) -> DataFrame:
+    """The nodes of mixed buckets, with the groups ``g`` in which they meet.
+
+    A bucket's nodes are those of its largest component (``top``, ``top_nodes`` of them) and the
+    others, each dealt to blocks.  Any two nodes meet in some group, except two of the largest
+    component, which are linked already: a block of others meets every block of the largest
+    component, and every other block of others."""
+    tops = F.ceil(F.col("top_nodes") / F.lit(block)).cast("int")
+    others = F.ceil((F.col("nodes") - F.col("top_nodes")) / F.lit(block)).cast("int")
+    is_top = F.col("label") == F.col("top")
+    own = F.pmod(F.xxhash64("key", "node"), F.when(is_top, tops).otherwise(others)).cast("int")
+    live = live.withColumn("own", own).withColumn("tops", tops).withColumn("others", others)
+    over_tops = F.transform(F.sequence(F.lit(0), F.col("tops") - 1), lambda x: F.xxhash64(F.col("key"), F.lit("top"), F.col("own"), x))
+    over_others = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda x: F.xxhash64(F.col("key"), F.lit("top"), x, F.col("own")))
+    beside = F.filter(F.sequence(F.lit(0), F.col("others") - 1), lambda x: x != F.col("own"))
+    beside = F.transform(beside, lambda x: F.xxhash64(F.col("key"), F.lit("others"), F.least(F.col("own"), x), F.greatest(F.col("own"), x)))
+    return live.withColumn("g", F.explode(F.when(is_top, over_others).otherwise(F.concat(over_tops, beside))))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, block: int = 192, most: int = 32, levels: int = 3, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """Every row: doc_id, n_shingles, component_id, kept."""
     prepare(docs.sparkSession)
@@ -295,14 +314,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         last, many = level == levels - 1, None
         for unsure in ("best", "all"):
             named = labelled(cells)
-            mixed = cut(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key"), "mixed")
+            per_label = named.groupBy("key", "label").agg(F.count("*").alias("own"))
+            per_key = per_label.groupBy("key").agg(F.max(F.struct("own", "label")).alias("top"), F.sum("own").alias("nodes"))
+            mixed = cut(per_key.select("key", F.col("top.label").alias("top"), F.col("top.own").alias("top_nodes"), "nodes").filter("top_nodes < nodes"), "mixed")
             if mixed.isEmpty():
                 break
-            live = cut(named.join(_some(mixed, 1 << 18), "key").select("key", "node", "nodes", "n", "label", "sig"), "live")
+            live = cut(named.drop("nodes", "least").join(_some(mixed, 1 << 18), "key"), "live")
             few = live if last else live.filter(F.col("nodes") <= block * most)
-            # every pair of blocks: a node meets all nodes of its bucket once
-            other = F.explode(F.transform(every, lambda x: F.xxhash64(F.col("key"), F.least(salt, x), F.greatest(salt, x))))
-            link(candidates(few.withColumn("g", other), percent, unsure))
+            link(candidates(dealt(few, block), percent, unsure))
             many = None if last else live.filter(F.col("nodes") > block * most)
         if mixed.isEmpty() or many is None or many.isEmpty():
             break

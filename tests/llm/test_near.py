@@ -75,3 +75,16 @@ def test_edges(spark):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 7, "k"), (2, "a b c d e f", 8, None)], "doc_id long, text string, n int, label string")
     assert sorted(tuple(r) for r in near_duplicates(df).collect()) == [(1, 2, 1, True), (2, 2, 1, False)]
+
+
+def test_nodes_of_different_components_meet(spark):
+    rows = [("k", i, 0 if i < 23 else i % 7 + 1, 0, 23, 40) for i in range(40)] + [("l", 1, 1, 1, 1, 2), ("l", 2, 2, 1, 1, 2)]
+    live = spark.createDataFrame(rows, "key string, node long, label long, top long, top_nodes long, nodes long")
+    groups = {}
+    for r in near.dealt(live, 4).select("key", "g", "node").collect():
+        groups.setdefault((r.key, r.g), set()).add(r.node)
+    met = {(k, a, b) for (k, _), g in groups.items() for a in g for b in g if a < b}
+    label = {(r[0], r[1]): r[2] for r in rows}
+    need = {(k, a, b) for (k, a) in label for (j, b) in label if j == k and a < b and label[k, a] != label[k, b]}
+    assert need <= met
+    assert max(map(len, groups.values())) < 23
