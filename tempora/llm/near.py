@@ -16,7 +16,9 @@ spanning forest is a candidate.  Candidates are confirmed on full sets, and the
 make most buckets uniform.  Buckets that still hold several components are compared block by
 block, across components only, the largest component's nodes never among themselves; a candidate is then every pair that agrees in 62 % of the
 coordinates, 4.5 standard deviations below 0.75: first the best of each two components, which
-mostly joins them, then all that are left.  Buckets of more than ``most`` blocks are first
+mostly joins them, then all that are left.  Pairs that can't be linked by the sizes of their sets,
+or by their odd sketches, which bound the symmetric difference from below, are no candidates: both
+bounds are exact.  Buckets of more than ``most`` blocks are first
 split by a second and third band key, as a linked pair shares ten bands on average; what is left
 at the last level is compared in full.  No candidate is dropped for a bucket's size.
 
@@ -40,7 +42,7 @@ from tempora.functions.session import cut, discard, prepare, table_bytes
 
 from .components import components
 
-WORDS, ROWS, BANDS = 5, 5, 48
+WORDS, ROWS, BANDS, SKETCH = 5, 5, 48, 64
 MASK = (1 << 64) - 1
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,6 +102,14 @@ def signature(sets: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def odd_sketch(sets: np.ndarray) -> np.ndarray:
+    """``SKETCH`` bytes: bit k is the parity of how many of a set's 64-bit hashes fall to k.
+
+    Two sketches differ in at most as many bits as there are hashes in one of the sets only."""
+    at = (sets >> np.uint64(64 - (8 * SKETCH - 1).bit_length())).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=8 * SKETCH) & 1)
+
+
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     part = sig.reshape(bands, rows).astype(np.uint64)
     key = np.arange(1, bands + 1, dtype=np.uint64)
@@ -113,7 +123,7 @@ def _signed(x: int) -> int:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
-    """doc_id, n (size of the set), two digests of the set, its band keys and a byte of each coordinate."""
+    """doc_id, n (size of the set), two digests of the set, its band keys, and a byte of each coordinate followed by the odd sketch."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +138,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
                         d2.append(_signed(int(np.bitwise_xor.reduce(mix64(s * PRIME)) if len(s) else 0)))
                     sig = signature(s, bands * rows)
                     keys.append(band_keys(sig, bands, rows) if len(s) else np.zeros(0, np.int64))
-                    bytes_.append((sig >> np.uint32(24) ^ sig & np.uint32(255)).astype(np.uint8).tobytes())
+                    bytes_.append((sig >> np.uint32(24) ^ sig & np.uint32(255)).astype(np.uint8).tobytes() + odd_sketch(s).tobytes())
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists, pa.array(bytes_, pa.binary())], names=["doc_id", "n", "d1", "d2", "bands", "sig"])
@@ -171,6 +181,7 @@ def agreeing(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sigs: np.
     """Candidate pairs of a group: a spanning forest, over the given labels, of the pairs that agree
     almost surely; then those between different trees that may be linked: all of them, the best for
     each two labels (``best``), or, in larger groups, none yet (``few``)."""
+    sigs, sketches = sigs[:, :-SKETCH], np.ascontiguousarray(sigs[:, -SKETCH:]).view(np.uint64)
     coordinates = sigs.shape[1]
     sure, may = math.ceil(0.87 * coordinates), math.floor(0.624 * coordinates)
     root = {x: x for x in labels.tolist()}
@@ -184,6 +195,8 @@ def agreeing(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sigs: np.
     for j in range(1, len(nodes)):
         same = (sigs[:j] == sigs[j]).sum(1)
         fits = 100 * np.minimum(sizes[:j], sizes[j]) >= percent * np.maximum(sizes[:j], sizes[j])
+        apart = np.bitwise_count(sketches[:j] ^ sketches[j]).sum(1, dtype=np.int64)
+        fits &= (100 + percent) * apart <= (100 - percent) * (sizes[:j] + sizes[j])
         for i in np.flatnonzero((same >= may) & fits & (labels[:j] != labels[j])).tolist():
             if same[i] < sure:
                 doubtful.append((i, j))

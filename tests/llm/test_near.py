@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+from tempora.llm import near
 from tempora.llm.near import near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -88,3 +89,14 @@ def test_nodes_of_different_components_meet(spark):
     need = {(k, a, b) for (k, a) in label for (j, b) in label if j == k and a < b and label[k, a] != label[k, b]}
     assert need <= met
     assert max(map(len, groups.values())) < 23
+
+
+def test_odd_sketches_bound_the_difference():
+    rng = random.Random(5)
+    for size in (0, 1, 5, 60, 900, 5000):
+        a = near.shingles(" ".join(rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(size)))
+        for share in (0, 0.02, 0.3, 1):
+            gone = {x for x in a.tolist() if rng.random() < share}
+            b = near.np.array(sorted({x for x in a.tolist() if x not in gone} | {rng.getrandbits(64) for _ in range(int(size * share))}), near.np.uint64)
+            bits = near.np.bitwise_count(near.odd_sketch(a) ^ near.odd_sketch(b)).sum()
+            assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
