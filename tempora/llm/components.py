@@ -1,7 +1,9 @@
 """Connected components of a link table, without gathering links anywhere.
 
-Every round takes the least label among a node's neighbours and then the label of that label;
-rounds go on until nothing changes.  Tables are cut between rounds.
+Randomised contraction: every round gives nodes random ranks, merges each node into the least
+ranked of itself and its neighbours, and keeps the links between different merged nodes.  At most
+three quarters of the nodes are expected to be left each round, so that all rounds together read a
+small multiple of the links, however long their chains are.  Tables are cut between rounds.
 """
 
 from __future__ import annotations
@@ -17,17 +19,26 @@ def components(links: DataFrame) -> DataFrame:
 
     Nodes without links aren't listed; links with a null end and links to oneself don't count.
     """
-    links = links.filter("a <> b").select("a", "b")
-    both = cut(links.union(links.select("b", "a")).distinct(), "both")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = step.select("node", "old", "label").join(labels.select(F.col("node").alias("label"), F.col("label").alias("far")), "label", "left")
-        new = cut(jump.select("node", "old", F.least("label", "far").alias("label")), "labels")
-        moved = not new.filter("label <> old").isEmpty()
-        discard(labels)
-        labels = new
-        if not moved:
-            discard(both)
-            return labels.select("node", "label")
+    links = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links, merged = cut(links.distinct(), "links"), []
+    while not links.isEmpty():
+        rank = lambda c, n=len(merged): F.struct(F.xxhash64(F.col(c), F.lit(n)).alias("rank"), F.col(c).alias("id"))
+        both = links.select("a", "b").union(links.select("b", "a"))
+        into = both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("least"))
+        into = cut(into.select("node", F.least("least", rank("node"))["id"].alias("into")), "into")
+        merged.append(into)
+        left = links.join(into.select(F.col("node").alias("a"), F.col("into").alias("x")), "a").select("x", "b")
+        left = left.join(into.select(F.col("node").alias("b"), F.col("into").alias("y")), "b").filter("x <> y")
+        left = cut(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        discard(links)
+        links = left
+    if not merged:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    last = merged.pop()
+    while merged:  # each round's nodes find what the next rounds merged them into
+        into, after = merged.pop(), last
+        found = into.join(after.select(F.col("node").alias("into"), F.col("into").alias("end")), "into", "left")
+        last = cut(found.select("node", F.coalesce("end", "into").alias("into")), "into")
+        discard(into, after)
+    least = last.groupBy("into").agg(F.min("node").alias("label"))
+    return last.join(least, "into").select("node", "label")

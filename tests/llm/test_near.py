@@ -3,6 +3,7 @@ import random
 import re
 
 from tempora.llm import near
+from tempora.llm.components import components
 from tempora.llm.near import near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -100,3 +101,23 @@ def test_odd_sketches_bound_the_difference():
             b = near.np.array(sorted({x for x in a.tolist() if x not in gone} | {rng.getrandbits(64) for _ in range(int(size * share))}), near.np.uint64)
             bits = near.np.bitwise_count(near.odd_sketch(a) ^ near.odd_sketch(b)).sum()
             assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(3)
+    links = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 50)] + [(2001, 2000), (2000, 2001), (5, 5), (None, 4)]
+    links += [(rng.randint(3000, 3200), rng.randint(3000, 3200)) for _ in range(100)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a is not None and a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    table = spark.createDataFrame(links, "a long, b long")
+    assert {r.node: r.label for r in components(table).collect()} == {x: find(x) for x in root}
+    assert components(table.filter("a > 9999")).count() == 0
