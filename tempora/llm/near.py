@@ -286,7 +286,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     spread = banded.select("node", F.explode("bands").alias("key"))
     labels = None
-    found: list[DataFrame] = []
 
     def link(pairs: DataFrame) -> None:
         """Confirm candidates and bring the labels up to date."""
@@ -295,13 +294,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if not pairs.isEmpty():
             more = verified(docs, pairs, percent, words, broadcast_bytes)
             if not more.isEmpty():
-                found.append(more)
-                every = found[0]
-                for x in found[1:]:
-                    every = every.union(x)
+                # what was reached so far is as good as the links that it came from
+                every = more if labels is None else more.union(labels.filter("node <> label").select("label", "node"))
                 old, labels = labels, cut(components(every), "labels")
-                if old is not None:
-                    discard(old)
+                discard(more, *([] if old is None else [old]))
         discard(pairs)
 
     def labelled(cells: DataFrame) -> DataFrame:

@@ -119,5 +119,6 @@ def test_components_of_chains_and_stars(spark):
             a, b = sorted((find(a), find(b)))
             root[b] = a
     table = spark.createDataFrame(links, "a long, b long")
-    assert {r.node: r.label for r in components(table).collect()} == {x: find(x) for x in root}
+    for per_task in (40, 250, 500_000):  # by contraction between many tasks, between a few, and in one
+        assert {r.node: r.label for r in components(table, per_task).collect()} == {x: find(x) for x in root}
     assert components(table.filter("a > 9999")).count() == 0
