@@ -36,7 +36,7 @@ TURNS = f"c AS (SELECT conv_id, turn, left({ASCII}, 200) AS a, lead(left({ASCII}
 
 
 def turns(spark, sf):
-    c = t(spark, sf, "conversations").withColumn("a", F.left(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", ""), F.lit(200)))
+    c = t(spark, sf, "conversations").withColumn("a", F.regexp_replace(F.lower("text"), "[^a-z0-9]+", ""))
     return c.withColumn("b", F.lead("a").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("b is not null")
 
 
