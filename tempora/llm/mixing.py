@@ -1,11 +1,14 @@
 """Mixing sources to target weights by iterative proportional fitting, on SQL functions alone.
 
 Tokens (words of the text) are summed into cells (source, language, topic).  The cells' weights
-are raked: in turn for each dimension, every cell is scaled by its value's target share over its
-present share, for a fixed number of sweeps.  Targets are, unless given, the shares of tokens
-raised to ``temper`` and scaled to one, which lifts small sources.  A cell's documents are then
-sampled with probability ``budget * weight * total / tokens``, at most 1, by a number in [0, 1)
-that their id's SHA-256 gives.
+are raked: in turn for each dimension, the cells of each value are scaled to its target share, for
+a fixed number of sweeps.  No cell gives more than its tokens: a weight counts up to its cap
+``tokens / (budget * total)``, and the value's other cells make up for what is above it.  Targets
+are the shares of tokens raised to ``temper`` and scaled to one, which lifts small sources; where a
+value's tokens don't reach its target, they are its target and the others' rise in proportion.  A
+cell's documents are then sampled with probability ``budget * weight * total / tokens``, by a
+number in [0, 1) that their id's SHA-256 gives, so that the sample's expected tokens are the budget
+and meet the targets as far as the cells allow.
 
 The topic of a text, unless there is a column for it, is its form: tables, markup, long, short.
 Null and empty texts have no tokens and are kept with probability 0; cells of no tokens take no
@@ -16,7 +19,7 @@ result.  Extra columns stay, whatever their names: the operator's own start with
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempora.functions.session import cut, discard, prepare, table_bytes
@@ -44,34 +47,50 @@ def keyed(docs: DataFrame) -> DataFrame:
     })
 
 
-def rake(cells: DataFrame, temper: float, sweeps: int) -> DataFrame:
-    """Cells (source, lang, topic, tokens) with their raked weight (sum 1).
+def fitted(rows: DataFrame, by: list, goal) -> DataFrame:
+    """Rows (weight, cap) with the weights of each group scaled so that, each counted up to its
+    cap, they sum to ``goal``; all reach their caps where that is less.
 
-    The cells are counts already: no step reads documents.  Each step sums a dimension's values,
-    scales the cells and is cut, so that no plan grows with the sweeps.
+    In order of cap over weight, the rows that reach their caps come first: the factor is the
+    largest that some row gives if those before it do and it doesn't."""
+    ratio = F.col("cap") / F.col("weight")
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    order = group.orderBy("ratio", *DIMS) if by else group.orderBy("ratio", "value")
+    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.withColumn("ratio", ratio).withColumn("factor", (goal - before) / rest)
+    own = F.when(F.col("factor") <= F.col("ratio") * F.lit(1 + 1e-12), F.col("factor"))
+    factor = F.coalesce(F.max(own).over(group), F.max("ratio").over(group))
+    return rows.withColumn("factor", factor).withColumn("weight", F.col("weight") * F.col("factor")).drop("ratio", "factor")
+
+
+def rake(cells: DataFrame, budget: float, temper: float, sweeps: int) -> DataFrame:
+    """Cells (source, lang, topic, tokens) with their raked weight, at most their cap (sum 1).
+
+    The cells are counts already: no step reads documents.  Each step scales a dimension's values
+    and is cut, so that no plan grows with the sweeps.
     """
     total = cells.agg(F.sum("tokens").alias("total"))
     w = cells.join(F.broadcast(total)).withColumn("weight", F.col("tokens") / F.col("total"))  # one row
+    w = w.withColumn("cap", F.col("weight") / F.lit(budget))
     for d in DIMS:
-        value = w.groupBy(d).agg(F.pow(F.sum("weight"), F.lit(temper)).alias(f"up_{d}"))
-        scale = value.agg(F.sum(f"up_{d}").alias(f"all_{d}"))
-        value = value.join(F.broadcast(scale)).select(d, (F.col(f"up_{d}") / F.col(f"all_{d}")).alias(f"target_{d}"))
+        value = w.groupBy(F.col(d).alias("value")).agg(F.pow(F.sum("weight"), F.lit(temper)).alias("weight"), F.sum("cap").alias("cap"))
+        value = fitted(value, [], F.lit(1.0)).select(F.col("value").alias(d), F.least("weight", "cap").alias(f"target_{d}"))
         w = w.join(value, d)
-    w = cut(w.select(*DIMS, "tokens", "total", "weight", *(f"target_{d}" for d in DIMS)), "rake")
+    w = cut(w.select(*DIMS, "tokens", "total", "weight", "cap", *(f"target_{d}" for d in DIMS)), "rake")
     for _ in range(sweeps):
         for d in DIMS:
-            here = w.groupBy(d).agg(F.sum("weight").alias("here"))
-            new = cut(w.join(here, d).withColumn("weight", F.col("weight") * F.col(f"target_{d}") / F.col("here")).select(*w.columns), "rake")
+            new = cut(fitted(w, [d], F.col(f"target_{d}")).select(*w.columns), "rake")
             discard(w)
             w = new
-    return w
+    return w.withColumn("weight", F.least("weight", "cap"))
 
 
 def probabilities(keys: DataFrame, budget: float, temper: float, sweeps: int) -> DataFrame:
     """A row for each cell: its tokens, raked weight and sampling probability."""
     cells = keys.filter("__mix_words > 0").groupBy(*(F.col(f"__mix_{d}").alias(d) for d in DIMS)).agg(F.sum("__mix_words").alias("tokens"))
-    w = rake(cut(cells, "cells"), temper, sweeps)
-    return w.select(*DIMS, "tokens", "weight", F.least(F.lit(1.0), F.lit(budget) * F.col("weight") * F.col("total") / F.col("tokens")).alias("probability"))
+    w = rake(cut(cells, "cells"), budget, temper, sweeps)
+    return w.select(*DIMS, "tokens", "weight", (F.col("weight") / F.col("cap")).alias("probability"))
 
 
 def chance(ident):
