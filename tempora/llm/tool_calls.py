@@ -26,7 +26,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempora.functions.session import cut, discard, prepare
@@ -179,18 +179,23 @@ def linked(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 SCHEMAS = {
     "ask": {
         "type": "object", "required": ["text", "chars"], "additionalProperties": False,
-        "properties": {"text": {"type": "string", "minLength": 1}, "chars": {"type": "integer", "minimum": 1}, "after": {"type": "string"}},
+        "properties": {"text": {"type": "string", "minLength": 1}, "chars": {"type": "integer", "minimum": 1}, "after": {"type": "string"}, "also": {"type": "array", "items": {"type": "string"}}},
     }
 }
 
 
 def as_calls(conversations: DataFrame) -> DataFrame:
     """Conversations as calls and results: what a user says calls ``ask``, an assistant's turn
-    answers the turn before, and every fourth turn refers to the call two turns earlier."""
+    answers the turn before; a call refers to the call before it in its conversation (``after``),
+    and every third call to all those before that one (``also``)."""
     user, assistant = F.col("role") == "user", F.col("role") == "assistant"
     at = lambda back: F.format_string("c%d", F.col("turn") - back)
-    after = F.when((F.col("turn") % 4 == 2) & (F.col("turn") >= 2), F.concat(F.lit("@"), at(2)))
-    arguments = F.to_json(F.struct("text", F.length("text").alias("chars"), after.alias("after")))
+    before = F.sort_array(F.collect_list(F.when(user, F.struct("turn", F.concat(F.lit("@"), at(0)).alias("ref")))).over(Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)))
+    before = F.transform(before, lambda x: x.ref)
+    n = F.size(before)
+    after = F.when(n > 0, F.element_at(before, -1))
+    also = F.when((n > 1) & (n % 3 == 2), F.slice(before, 1, F.greatest(n - 1, F.lit(0))))
+    arguments = F.to_json(F.struct("text", F.length("text").alias("chars"), after.alias("after"), also.alias("also")))
     return conversations.select("conv_id", "turn", "role", F.col("text").alias("content"), F.when(user, at(0)).alias("call_id"), F.when(user, F.lit("ask")).alias("name"), F.when(user, arguments).alias("arguments"), F.when(assistant, at(1)).alias("answers"))
 
 
