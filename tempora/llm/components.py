@@ -37,7 +37,7 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def components(links: DataFrame, per_task: int = 500_000) -> DataFrame:
+def components(links: DataFrame, per_task: int = 50_000) -> DataFrame:
     """``links`` (a long, b long) as (node, label): label is the least node that can be reached.
 
     Nodes without links aren't listed; links with a null end and links to oneself don't count.

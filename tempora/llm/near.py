@@ -9,22 +9,26 @@ coordinates are bucket keys; 48 bands miss a pair at a similarity of 0.75 with a
 compared on full sets.
 
 No bucket is expanded into all its pairs.  Texts with equal sets are one node, and buckets with
-the same nodes are one bucket.  A bucket's nodes are compared in groups of at most ``block`` by
-their signatures (a byte of each coordinate), the bucket's least node being in each group: pairs
-that agree in 87 % of the coordinates are linked for all practical purposes, and of those a
-spanning forest is a candidate.  Candidates are confirmed on full sets, and the links' components
-make most buckets uniform.  Buckets that still hold several components are compared block by
-block, across components only, the largest component's nodes never among themselves; a candidate is then every pair that agrees in 62 % of the
-coordinates, 4.5 standard deviations below 0.75: first the best of each two components, which
-mostly joins them, then all that are left.  Pairs that can't be linked by the sizes of their sets,
-or by their odd sketches, which bound the symmetric difference from below, are no candidates: both
-bounds are exact.  Buckets of more than ``most`` blocks are first
-split by a second and third band key, as a linked pair shares ten bands on average; what is left
-at the last level is compared in full.  No candidate is dropped for a bucket's size.
+the same nodes are one bucket.  Nodes that share one of the first ``early`` bands meet in groups of
+at most ``block``, the bucket's least node being in each; of a group's pairs that may be linked a
+spanning forest, the most alike first, is confirmed on full sets, and components of the links label
+the nodes.  From then on only buckets of several labels count.  Such a bucket's nodes are those of
+its largest component, of which no two are compared, and the others: groups hold a block of others
+with up to ``wide`` of the largest component, or two blocks of others.  Forests are confirmed as
+long as that joins components; then all pairs that are left, but for those ruled out: by fewer than
+62 % of equal coordinates, 4.5 standard deviations below 0.75, by the sizes of their sets, or by
+their odd sketches, which bound the symmetric difference from below (both bounds are exact).  A
+refused pair leaves its components apart, so whatever else may link them is still compared.
+
+Buckets with more than ``most`` blocks of others are split by a second and a third band key first.
+A linked pair shares eleven bands on average; at a similarity of exactly 0.75 it shares fewer than
+two with a probability of 4e-5 and fewer than three with 3e-4, and only such pairs of such buckets
+are missed, unless something else links them.  What is left at the last level is compared in full.
+No candidate is dropped for a bucket's size.
 
 Null and empty texts have an empty set and are linked with nothing.  Rows with a null id are
 linked with nothing, have a null component and stay.  Rows that repeat an id are each returned;
-where their texts differ, their links are those of either text.  An empty table gives an empty
+where their texts differ, they are linked with one another and their links are those of either text.  An empty table gives an empty
 result; further columns are not looked at.
 """
 
@@ -122,6 +126,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def digests(sets: np.ndarray) -> tuple[int, int]:
+    """Two numbers that tell sets apart."""
+    with np.errstate(over="ignore"):
+        return _signed(int(sets.sum(dtype=np.uint64)) & MASK), _signed(int(np.bitwise_xor.reduce(mix64(sets * PRIME))) if len(sets) else 0)
+
+
 def signatures(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
     """doc_id, n (size of the set), two digests of the set, its band keys, and a byte of each coordinate followed by the odd sketch."""
 
@@ -133,9 +143,8 @@ def signatures(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
                 for text in part.column(1).to_pylist():
                     s = shingles(text or "", words)
                     n.append(len(s))
-                    with np.errstate(over="ignore"):
-                        d1.append(_signed(int(s.sum(dtype=np.uint64)) & MASK))
-                        d2.append(_signed(int(np.bitwise_xor.reduce(mix64(s * PRIME)) if len(s) else 0)))
+                    for d, x in zip((d1, d2), digests(s), strict=True):
+                        d.append(x)
                     sig = signature(s, bands * rows)
                     keys.append(band_keys(sig, bands, rows) if len(s) else np.zeros(0, np.int64))
                     bytes_.append((sig >> np.uint32(24) ^ sig & np.uint32(255)).astype(np.uint8).tobytes() + odd_sketch(s).tobytes())
@@ -146,18 +155,23 @@ def signatures(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, n long, d1 long, d2 long, bands array<long>, sig binary")
 
 
-def set_table(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id and its whole set as an array."""
+def set_table(rows: DataFrame, words: int) -> DataFrame:
+    """Rows (node, d1, d2, text) as node and its whole set: rows whose set has other digests are of
+    another text of a repeated id."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                sets = [shingles(t or "", words).view(np.int64) for t in part.column(1).to_pylist()]
+                nodes, sets = [], []
+                for node, d1, d2, text in zip(*(c.to_pylist() for c in batch.slice(a, 256).columns), strict=True):
+                    s = shingles(text or "", words)
+                    if digests(s) == (d1, d2):
+                        nodes.append(node)
+                        sets.append(s.view(np.int64))
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["doc_id", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else [], pa.int64()))], names=["node", "hashes"])
 
-    return docs.mapInArrow(build, "doc_id long, hashes array<long>")
+    return rows.select("node", "d1", "d2", "text").mapInArrow(build, "node long, hashes array<long>")
 
 
 def _some(df: DataFrame, broadcast_bytes: int) -> DataFrame:
@@ -165,99 +179,139 @@ def _some(df: DataFrame, broadcast_bytes: int) -> DataFrame:
     return F.broadcast(df) if table_bytes(df) <= broadcast_bytes else df
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int, words: int, broadcast_bytes: int) -> DataFrame:
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, words: int, broadcast_bytes: int) -> DataFrame:
     """Those of the written ``pairs`` (a, b) that are linked, by comparing whole sets."""
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    sets = cut(set_table(docs.join(_some(ids, broadcast_bytes), "doc_id", "left_semi").select("doc_id", "text"), words), "sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    asked = cut(asked.join(nodes, "node").select("node", F.col("rep").alias("doc_id"), "d1", "d2"), "asked")
+    sets = cut(set_table(docs.join(_some(asked, broadcast_bytes), "doc_id"), words), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
     same = F.size(F.array_intersect("ha", "hb"))
     both = both.select("a", "b", same.alias("same"), (F.size("ha") + F.size("hb")).alias("total"))
     links = cut(both.filter(F.lit(100) * F.col("same") >= F.lit(percent) * (F.col("total") - F.col("same"))).select("a", "b").distinct(), "links")
-    discard(ids, sets)
+    discard(asked, sets)
     return links
 
 
-def agreeing(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sigs: np.ndarray, percent: int, unsure: str) -> list[tuple[int, int]]:
-    """Candidate pairs of a group: a spanning forest, over the given labels, of the pairs that agree
-    almost surely; then those between different trees that may be linked: all of them, the best for
-    each two labels (``best``), or, in larger groups, none yet (``few``)."""
-    sigs, sketches = sigs[:, :-SKETCH], np.ascontiguousarray(sigs[:, -SKETCH:]).view(np.uint64)
-    coordinates = sigs.shape[1]
-    sure, may = math.ceil(0.87 * coordinates), math.floor(0.624 * coordinates)
-    root = {x: x for x in labels.tolist()}
+def agreeing(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sigs: np.ndarray, percent: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of a group, of different labels: all that may be linked, or, unless ``every``,
+    a spanning forest of them over the labels, the most alike first."""
+    names, kind, counts = np.unique(labels, return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return
+    top = kind == counts.argmax()
+    order = np.argsort(top, kind="stable")
+    others = len(order) - int(counts.max())
+    nodes, sizes, kind = nodes[order], sizes[order], kind[order]
+    sigs, sketches = sigs[order, :-SKETCH], np.ascontiguousarray(sigs[order, -SKETCH:]).view(np.uint64)
+    may = math.floor(0.624 * sigs.shape[1])
+    first, second, alike = [], [], []
+    for j in range(others):
+        rest = slice(j + 1, None)
+        fits = (kind[rest] != kind[j]) & (100 * np.minimum(sizes[rest], sizes[j]) >= percent * np.maximum(sizes[rest], sizes[j]))
+        at = np.flatnonzero(fits) + j + 1
+        if not len(at):
+            continue
+        apart = np.bitwise_count(sketches[at] ^ sketches[j]).sum(1, dtype=np.int64)
+        at = at[(100 + percent) * apart <= (100 - percent) * (sizes[at] + sizes[j])]
+        same = (sigs[at] == sigs[j]).sum(1)
+        at, same = at[same >= may], same[same >= may]
+        if not len(at):
+            continue
+        if every:
+            yield np.full(len(at), nodes[j]), nodes[at]
+            continue
+        tops = at >= others
+        if tops.sum() > 1:  # of the largest component, the most alike
+            best = at[tops][same[tops].argmax()]
+            keep = ~tops | (at == best)
+            at, same = at[keep], same[keep]
+        first.append(np.full(len(at), j))
+        second.append(at)
+        alike.append(same)
+    if not first:
+        return
+    first, second, alike = np.concatenate(first), np.concatenate(second), np.concatenate(alike)
+    root = list(range(len(names)))
 
     def find(x: int) -> int:
         while root[x] != x:
             root[x] = x = root[root[x]]
         return x
 
-    out, doubtful, own = [], [], labels.tolist()
-    for j in range(1, len(nodes)):
-        same = (sigs[:j] == sigs[j]).sum(1)
-        fits = 100 * np.minimum(sizes[:j], sizes[j]) >= percent * np.maximum(sizes[:j], sizes[j])
-        apart = np.bitwise_count(sketches[:j] ^ sketches[j]).sum(1, dtype=np.int64)
-        fits &= (100 + percent) * apart <= (100 - percent) * (sizes[:j] + sizes[j])
-        for i in np.flatnonzero((same >= may) & fits & (labels[:j] != labels[j])).tolist():
-            if same[i] < sure:
-                doubtful.append((i, j))
-            elif find(own[i]) != find(own[j]):
-                root[find(own[i])] = find(own[j])
-                out.append((i, j))
-    if unsure != "few" or len(nodes) <= 16:
-        doubtful = [(i, j) for i, j in doubtful if find(own[i]) != find(own[j])]
-        if unsure == "best":
-            top: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for i, j in doubtful:
-                two = (find(own[i]), find(own[j]))
-                top[two] = max(top.get(two, (-1, 0, 0)), (int((sigs[i] == sigs[j]).sum()), i, j))
-            doubtful = [(i, j) for _, i, j in top.values()]
-        out += doubtful
-    return [(min(a, b), max(a, b)) for a, b in ((int(nodes[i]), int(nodes[j])) for i, j in out) if a != b]
-
-
-def candidates(rows: DataFrame, percent: int, unsure: str) -> DataFrame:
+    out = []
+    for e in np.argsort(-alike, kind="stable").tolist():
+        x, y = find(int(kind[first[e]])), find(int(kind[second[e]]))
+        if x != y:
+            root[y] = x
+            out.append(e)
+    yield nodes[first[out]], nodes[second[out]]
+
+
+def candidates(rows: DataFrame, percent: int, every: bool) -> DataFrame:
     """Distinct candidate pairs (a, b) of the groups ``g`` of rows (g, node, n, label, sig)."""
     rows = rows.select("g", "node", "n", "label", "sig").repartition("g").sortWithinPartitions("g")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
+        rest: list[pa.RecordBatch] = []  # of the group that may go on in the next batch
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
-            g = table.column(0).to_numpy()
-            ends = [*(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist()]
-            rest = table.slice(ends[-1] if ends else 0)
-            yield from groups(table, ends)
-        if rest is not None:
-            yield from groups(rest, [rest.num_rows])
-
-    def groups(table: pa.Table, ends: list[int]) -> Iterator[pa.RecordBatch]:
+            if not batch.num_rows:
+                continue
+            g = batch.column(0).to_numpy()
+            ends = (np.flatnonzero(g[1:] != g[:-1]) + 1).tolist()
+            if rest and rest[-1].column(0)[0].as_py() != g[0]:
+                yield from groups(rest, None)
+                rest = []
+            if ends:
+                yield from groups([*rest, batch.slice(0, ends[0])], None)
+                yield from groups([batch.slice(0, ends[-1])], ends)
+                rest = []
+            rest.append(batch.slice(ends[-1] if ends else 0))
+        if rest:
+            yield from groups(rest, None)
+
+    def groups(parts: list[pa.RecordBatch], ends: list[int] | None) -> Iterator[pa.RecordBatch]:
+        """One group in several parts, or those of one part that begin at ``ends``, without the last end."""
+        table = pa.Table.from_batches(parts)
+        edges = [0, table.num_rows] if ends is None else ends
         nodes, sizes, labels = (table.column(k).to_numpy() for k in (1, 2, 3))
-        raw, at, found = table.column(4).to_pylist(), 0, []
-        for end in ends:
-            if end - at > 1:
-                sigs = np.frombuffer(b"".join(raw[at:end]), np.uint8).reshape(end - at, -1)
-                found += agreeing(nodes[at:end], sizes[at:end], labels[at:end], sigs, percent, unsure)
-            at = end
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        raw = table.column(4).to_pylist()
+        found, size = [], 0
+        for at, end in zip(edges, edges[1:], strict=False):
+            if end - at < 2:
+                continue
+            sigs = np.frombuffer(b"".join(raw[at:end]), np.uint8).reshape(end - at, -1)
+            for two in agreeing(nodes[at:end], sizes[at:end], labels[at:end], sigs, percent, every):
+                found.append(two)
+                size += len(two[0])
+                if size >= 1 << 16:
+                    yield pairs(found)
+                    found, size = [], 0
+        if found:
+            yield pairs(found)
+
+    def pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
     return rows.mapInArrow(compare, "a long, b long").distinct()
 
 
 def buckets(spread: DataFrame) -> DataFrame:
-    """Keys that several nodes share: least node and number of nodes; one key for equal node sets."""
-    shared = spread.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("nodes"), F.bit_xor(F.xxhash64("node")).alias("all")).filter("least < most")
-    return shared.groupBy("least", "most", "nodes", "all").agg(F.min("key").alias("key")).select("key", "least", "nodes")
+    """Keys that several nodes share, with their least node and number of nodes; of keys with the same nodes that of the least band."""
+    shared = spread.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("nodes"), F.bit_xor(F.xxhash64("node")).alias("all"), F.min("band").alias("band")).filter("least < most")
+    one = shared.groupBy("least", "most", "nodes", "all").agg(F.min(F.struct("band", "key")).alias("of"))
+    return one.select("of.key", "least", "nodes")
 
 
-def dealt(live: DataFrame, block: int) -> DataFrame:
+def dealt(live: DataFrame, block: int, wide: int) -> DataFrame:
     """The nodes of mixed buckets, with the groups ``g`` in which they meet.
 
-    A bucket's nodes are those of its largest component (``top``, ``top_nodes`` of them) and the
-    others, each dealt to blocks.  Any two nodes meet in some group, except two of the largest
-    component, which are linked already: a block of others meets every block of the largest
-    component, and every other block of others."""
-    tops = F.ceil(F.col("top_nodes") / F.lit(block)).cast("int")
+    A bucket's nodes are those of its largest component (``top``, ``top_nodes`` of them), dealt to
+    blocks of ``wide``, and the others, dealt to blocks of ``block``.  Any two nodes meet in some
+    group, except two of the largest component: a block of others meets every block of the largest
+    component, and every other block of others.  Rows grow with the others' blocks and those of
+    ``wide``; in a bucket of a block and ``wide`` nodes at most each node is one row."""
+    tops = F.ceil(F.col("top_nodes") / F.lit(wide)).cast("int")
     others = F.ceil((F.col("nodes") - F.col("top_nodes")) / F.lit(block)).cast("int")
     is_top = F.col("label") == F.col("top")
     own = F.pmod(F.xxhash64("key", "node"), F.when(is_top, tops).otherwise(others)).cast("int")
@@ -269,84 +323,100 @@ def dealt(live: DataFrame, block: int) -> DataFrame:
     return live.withColumn("g", F.explode(F.when(is_top, over_others).otherwise(F.concat(over_tops, beside))))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, block: int = 192, most: int = 32, levels: int = 3, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, early: int = 6, block: int = 1024, wide: int = 1 << 16, most: int = 32, levels: int = 3, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """Every row: doc_id, n_shingles, component_id, kept."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(signatures(docs, bands, rows, words), "signed")
-    # one node for each set: its least id
-    sets = cut(signed.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "nodes")
-    joined = signed.filter("n > 0 and doc_id is not null").join(sets, ["d1", "d2", "n"])
-    is_rep = F.col("doc_id") == F.col("rep")
-    members = cut(joined.select("doc_id", "n", "rep", F.when(is_rep, F.col("bands")).alias("bands"), F.when(is_rep, F.col("sig")).alias("sig")), "members")
-    rest = cut(signed.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")), "rest")
-    discard(signed, sets)
-    banded = members.filter("bands is not null").select(F.col("doc_id").alias("node"), "n", "bands", "sig").dropDuplicates(["node"])
-    banded = cut(banded, "banded")
-
-    spread = banded.select("node", F.explode("bands").alias("key"))
-    labels = None
-
-    def link(pairs: DataFrame) -> None:
-        """Confirm candidates and bring the labels up to date."""
+    signed = cut(signatures(docs, bands, rows, words).withColumn("row", F.monotonically_increasing_id()), "signed")
+    # a node is the first row of a set; rep is the least id that has it
+    sets = cut(signed.filter("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep")), "nodes")
+    members = cut(signed.filter("n > 0 and doc_id is not null").select("doc_id", "n", "d1", "d2", "row").join(sets, ["d1", "d2", "n"]).select("doc_id", "n", "row", "node", "rep"), "members")
+    rest = signed.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    copies = cut(members.filter("row <> node").select("row"), "copies")
+    banded = signed.filter("n > 0 and doc_id is not null").join(_some(copies, broadcast_bytes), "row", "left_anti").select(F.col("row").alias("node"), "n", "bands", "sig")
+
+    ids = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
+    twins = members.join(ids.select("doc_id", "a"), "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
+    twins, labels = cut(twins.distinct(), "twins"), None
+
+    def join(more: DataFrame) -> bool:
+        """Bring the labels up to date; whether there was a link."""
         nonlocal labels
+        some = not more.isEmpty()
+        if some:
+            # what was reached so far is as good as the links that it came from
+            every = more if labels is None else more.union(labels.filter("node <> label").select("label", "node"))
+            old, labels = labels, cut(components(every), "labels")
+            discard(*([] if old is None else [old]))
+        discard(more)
+        return some
+
+    def link(pairs: DataFrame) -> bool:
+        """Confirm candidates; whether there was a link."""
         pairs = cut(pairs, "pairs")
-        if not pairs.isEmpty():
-            more = verified(docs, pairs, percent, words, broadcast_bytes)
-            if not more.isEmpty():
-                # what was reached so far is as good as the links that it came from
-                every = more if labels is None else more.union(labels.filter("node <> label").select("label", "node"))
-                old, labels = labels, cut(components(every), "labels")
-                discard(more, *([] if old is None else [old]))
+        some = not pairs.isEmpty() and join(verified(docs, sets, pairs, percent, words, broadcast_bytes))
         discard(pairs)
+        return some
 
     def labelled(cells: DataFrame) -> DataFrame:
         if labels is None:
             return cells.withColumn("label", F.col("node"))
         return cells.join(_some(labels, 1 << 18), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
+    def with_sets(cells: DataFrame) -> DataFrame:
+        return cells.join(banded.select("node", "n", "sig"), "node")
+
+    join(twins)
+    spread = banded.select("node", F.posexplode("bands").alias("band", "key"))  # later levels' also have the band keys of the bucket
     for level in range(levels):
         shared = cut(buckets(spread), "shared")
-        if shared.isEmpty():
-            break
-        cells = spread.join(_some(shared, 1 << 18), "key").select("key", "node", "least", "nodes")
-        cells = cut(cells.join(banded.select("node", "n", "sig"), "node").select("key", "node", "least", "nodes", "n", "sig"), "cells")
-        blocks = F.ceil(F.col("nodes") / F.lit(block)).cast("int")
-        salt = F.pmod(F.xxhash64("key", "node"), blocks).cast("int")
-        every = F.sequence(F.lit(0), blocks - 1)
-
-        # the least node is in every block, so that what is like it meets over the blocks
-        first = labelled(cells).withColumn("block", F.explode(F.when(F.col("node") == F.col("least"), every).otherwise(F.array(salt))))
-        link(candidates(first.withColumn("g", F.xxhash64("key", "block")), percent, "few"))
-
-        # across components: first the best pair of each two, as one link joins them, then the rest
-        last, many = level == levels - 1, None
-        for unsure in ("best", "all"):
-            named = labelled(cells)
+        cells = cut(spread.join(_some(shared, 1 << 18), "key"), "cells")
+        discard(shared, spread)
+        if level == 0:
+            # the least node is in every block, so that what is like it meets over the blocks
+            blocks = F.ceil(F.col("nodes") / F.lit(block)).cast("int")
+            salt = F.array(F.pmod(F.xxhash64("key", "node"), blocks).cast("int"))
+            first = labelled(cells.filter(F.col("band") < early))
+            first = first.withColumn("block", F.explode(F.when(F.col("node") == F.col("least"), F.sequence(F.lit(0), blocks - 1)).otherwise(salt)))
+            link(candidates(with_sets(first).withColumn("g", F.xxhash64("key", "block")), percent, False))
+        last, many, every, rounds = level == levels - 1, None, False, 0
+        while True:
+            named = labelled(cells.select("key", "node"))
             per_label = named.groupBy("key", "label").agg(F.count("*").alias("own"))
             per_key = per_label.groupBy("key").agg(F.max(F.struct("own", "label")).alias("top"), F.sum("own").alias("nodes"))
-            mixed = cut(per_key.select("key", F.col("top.label").alias("top"), F.col("top.own").alias("top_nodes"), "nodes").filter("top_nodes < nodes"), "mixed")
-            if mixed.isEmpty():
+            mixed = per_key.select("key", F.col("top.label").alias("top"), F.col("top.own").alias("top_nodes"), "nodes").filter("top_nodes < nodes")
+            mixed = cut(mixed, "mixed")
+            live = cut(named.join(_some(mixed, 1 << 18), "key"), "live")
+            too_many = F.col("nodes") - F.col("top_nodes") > block * most
+            few = live if last else live.filter(~too_many)
+            some = link(candidates(with_sets(dealt(few, block, wide)), percent, every))
+            rounds += 1
+            if every:
+                many = None if last else cut(live.filter(too_many).select("key", "node"), "many")
+                if many is not None and level:
+                    many = many.join(cells.select("key", "node", "used"), ["key", "node"])
+            discard(mixed, live)
+            if every:
                 break
-            live = cut(named.drop("nodes", "least").join(_some(mixed, 1 << 18), "key"), "live")
-            few = live if last else live.filter(F.col("nodes") <= block * most)
-            link(candidates(dealt(few, block), percent, unsure))
-            many = None if last else live.filter(F.col("nodes") > block * most)
-        if mixed.isEmpty() or many is None or many.isEmpty():
+            every = not some or rounds == 3
+        if many is None or many.isEmpty():
             break
-        # a second band key beside the first splits the buckets that are still too large
-        again = many.select("key", "node").join(banded.select("node", "bands"), "node")
-        again = again.select("node", F.col("key").alias("first"), F.explode("bands").alias("band"))
-        spread = cut(again.select("node", F.xxhash64("first", "band").alias("key")).distinct(), "again")
-        discard(cells, shared)
-
-    linked = members.select("doc_id", "n", "rep")
+        # another band key beside those of the bucket splits the buckets that are still too large
+        used = F.col("used") if level else F.array("key")
+        again = many.join(banded.select("node", "bands"), "node").select("node", used.alias("used"), F.explode("bands").alias("other"))
+        again = again.filter(~F.array_contains("used", F.col("other"))).select("node", F.array_sort(F.array_append("used", F.col("other"))).alias("used")).distinct()
+        spread = cut(again.select("node", F.lit(0).alias("band"), F.xxhash64("used").alias("key"), "used"), "again")
+        discard(cells)
+
+    comp = members.select("doc_id", F.col("n").alias("n_shingles"), "node", "rep")
     if labels is None:
-        linked = linked.withColumn("label", F.col("rep"))
+        comp = comp.withColumn("component_id", F.col("rep"))
     else:
-        linked = linked.join(_some(labels, 1 << 18).withColumnRenamed("node", "rep"), "rep", "left")
-    linked = linked.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
-    out = linked.union(rest)
+        reached = labels.join(sets.select("node", "rep"), "node")
+        least = reached.groupBy("label").agg(F.min("rep").alias("least"))
+        reached = cut(labels.join(least, "label").select("node", "least"), "reached")
+        comp = comp.join(_some(reached, broadcast_bytes), "node", "left").withColumn("component_id", F.coalesce("least", "rep"))
+    out = comp.select("doc_id", "n_shingles", "component_id").union(rest)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -62,7 +62,8 @@ def test_all_pairs(spark):
 
 def test_small_blocks_and_levels(spark):
     rows = corpus(2)
-    assert result(spark, rows, block=4, most=2, broadcast_bytes=0) == brute(rows)
+    assert result(spark, rows, block=4, wide=8, most=2, broadcast_bytes=0) == brute(rows)
+    assert result(spark, rows, block=3, wide=3, most=1, early=1, levels=2) == brute(rows)
 
 
 def test_edges(spark):
@@ -74,6 +75,38 @@ def test_edges(spark):
     assert near_duplicates(spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")).filter("not kept").count() == 0
 
 
+def test_repeated_ids_with_different_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (5, b), (7, b + " more"), (8, a + " more"), (9, "else " * 9)]
+    got = result(spark, rows)
+    assert [(r[0], r[2]) for r in got] == [(1, 1), (1, 1), (5, 1), (7, 1), (8, 1), (9, 9)]
+
+
+def test_a_refused_pair_hides_no_other():
+    size = near.BANDS * near.ROWS
+
+    def sig(equal):
+        x = near.np.arange(size, dtype=near.np.uint32).astype(near.np.uint8)
+        x[equal:] += 100
+        return near.np.concatenate([x, near.np.zeros(near.SKETCH, near.np.uint8)])
+
+    sigs = near.np.stack([sig(size), sig(size * 92 // 100), sig(size * 81 // 100)])
+    nodes, sizes = near.np.array([1, 2, 3]), near.np.array([90, 90, 90])
+    every = {(int(a), int(b)) for x, y in near.agreeing(nodes, sizes, near.np.array([1, 1, 3]), sigs, 75, True) for a, b in zip(x, y)}
+    assert {(min(p), max(p)) for p in every} == {(1, 3), (2, 3)}
+    forest = [p for x, y in near.agreeing(nodes, sizes, nodes, sigs, 75, False) for p in zip(x.tolist(), y.tolist())]
+    assert len(forest) == 2
+
+
+def test_groups_across_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = corpus(4)
+        assert result(spark, rows) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 7, "k"), (2, "a b c d e f", 8, None)], "doc_id long, text string, n int, label string")
     assert sorted(tuple(r) for r in near_duplicates(df).collect()) == [(1, 2, 1, True), (2, 2, 1, False)]
@@ -83,7 +116,7 @@ def test_nodes_of_different_components_meet(spark):
     rows = [("k", i, 0 if i < 23 else i % 7 + 1, 0, 23, 40) for i in range(40)] + [("l", 1, 1, 1, 1, 2), ("l", 2, 2, 1, 1, 2)]
     live = spark.createDataFrame(rows, "key string, node long, label long, top long, top_nodes long, nodes long")
     groups = {}
-    for r in near.dealt(live, 4).select("key", "g", "node").collect():
+    for r in near.dealt(live, 4, 4).select("key", "g", "node").collect():
         groups.setdefault((r.key, r.g), set()).add(r.node)
     met = {(k, a, b) for (k, _), g in groups.items() for a in g for b in g if a < b}
     label = {(r[0], r[1]): r[2] for r in rows}
