@@ -83,7 +83,7 @@ def test_calls(spark):
     }
     assert got[2, 4].errors == ["$.x: missing", "$.w: unknown"] and not got[2, 3].valid
     assert got[1, 1].json == '{"content":null,"role":"assistant","tool_call":{"arguments":{"x":1,"y":"z"},"id":"a","name":"f"}}'
-    assert got[1, 1].errors == ["$.x: not integer"]
+    assert got[1, 1].errors == []  # in JSON, 1.0 is the integer 1
     assert linked(spark.createDataFrame([], schema), schemas).count() == 0
 
 
