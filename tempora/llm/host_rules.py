@@ -2,10 +2,11 @@
 
 Each text is checked against rules of its own; failures are counted by host (a source, or the
 host of a URL), and each host's failure rate is shrunk towards the others' by a beta prior whose
-two parameters come from all hosts (method of moments on their rates).  A host whose shrunk rate
-reaches ``host_limit`` for any rule is rejected, and the verdict is joined back to its documents:
-a document stays if it passes the base rules and its host isn't rejected.  A host with few
-documents is thus judged by what is usual, not by one bad text.
+two parameters come from all hosts: their pooled rate, and the spread of their rates beyond what
+counting so few documents gives by chance (moments of the beta-binomial distribution).  A host
+whose shrunk rate reaches ``host_limit`` for any rule is rejected, and the verdict is joined back to
+its documents: a document stays if it passes the base rules and its host isn't rejected.  A host
+with few documents is thus judged by what is usual, not by one bad text.
 
 Null texts count as empty (they fail the base rule).  Null hosts are one host.  Repeated rows
 count as often as they occur and each is returned; an empty table gives an empty result; further
@@ -51,36 +52,43 @@ def rules() -> dict[str, object]:
     }
 
 
-def host_verdicts(failed: DataFrame, names: list[str], host_limit: float) -> DataFrame:
+def host_verdicts(failed: DataFrame, names: list[str], host_limit: float, least_strength: float) -> DataFrame:
     """A row for each host: its documents, each rule's shrunk rate, and whether it is rejected.
 
-    Prior of a rule: mean m of the hosts' rates and their variance v give the strength
-    m (1 - m) / v - 1, at least 1 and at most 1e6; without spread the rate of all hosts is certain.
-    """
+    Of H hosts with n documents and k failures each, N and K in all, the pooled rate is m = K / N and
+    the hosts' weighted spread S = sum of n (k / n - m)^2.  By chance alone S is m (1 - m) (H - 1); a
+    correlation r of a host's documents adds r m (1 - m) (N - sum of n^2 / N - (H - 1)).  The prior
+    has mean m and the strength 1 / r - 1 documents: at least ``least_strength``, at most 1e6, and so
+    much where S is no more than chance or can't tell (all hosts of one document, one host)."""
     hosts = cut(failed.groupBy("host").agg(F.count("*").alias("n"), *(F.sum(F.col(f"f_{r}").cast("long")).alias(f"k_{r}") for r in names)), "hosts")
-    moments = []
+    n = F.col("n").cast("double")
+    sums = [F.count("*").alias("h"), F.sum(n).alias("all"), F.sum(n * n).alias("squares")]
     for r in names:
-        rate = F.col(f"k_{r}") / F.col("n")
-        moments += [F.avg(rate).alias(f"m_{r}"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias(f"v_{r}")]
-    out = hosts.join(F.broadcast(hosts.agg(*moments)), how="inner")  # one row of moments
+        k = F.col(f"k_{r}").cast("double")
+        sums += [(F.sum(k) / F.sum(n)).alias(f"m_{r}"), F.sum(k * k / n).alias(f"q_{r}")]
+    out = hosts.join(F.broadcast(hosts.agg(*sums)), how="inner")  # one row of sums
+    chance = F.col("h") - 1
+    room = F.col("all") - F.col("squares") / F.col("all") - chance
     shrunk = []
     for r in names:
-        m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
-        strength = F.least(F.greatest(m * (1 - m) / F.greatest(v, F.lit(1e-12)) - 1, F.lit(1.0)), F.lit(1e6))
-        shrunk.append(((F.col(f"k_{r}") + strength * m) / (F.col("n") + strength)).alias(f"rate_{r}"))
+        m = F.col(f"m_{r}")
+        spread = F.col(f"q_{r}") - F.col("all") * m * m
+        alike = F.when((room > 1e-9) & (m > 0) & (m < 1), (spread / (m * (1 - m)) - chance) / room)
+        strength = F.greatest(F.when(alike > 1e-6, 1 / alike - 1).otherwise(1e6), F.lit(least_strength))
+        shrunk.append(((F.col(f"k_{r}") + strength * m) / (n + strength)).alias(f"rate_{r}"))
     out = out.select("host", F.col("n").alias("host_docs"), *shrunk)
     return out.withColumn("host_rejected", F.greatest(*(F.col(f"rate_{r}") for r in names), F.lit(0.0)) >= host_limit)
 
 
-def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_limit: float = 0.5, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_limit: float = 0.5, least_strength: float = 2.0, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """Every row with its counts, base_failed, kept, its own failures and its host's verdict."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
     tests = rules()
     failed = cut(counted(docs).select("*", *(x.alias(f"f_{r}") for r, x in tests.items())), "failed")
-    hosts = cut(host_verdicts(failed, list(tests), host_limit), "verdicts").withColumnRenamed("host", "of_host")
-    size = table_bytes(hosts) if hasattr(hosts, "_tempora_path") else None
-    if size is not None and size <= broadcast_bytes:
+    hosts = cut(host_verdicts(failed, list(tests), host_limit, least_strength), "verdicts")
+    size, hosts = table_bytes(hosts), hosts.withColumnRenamed("host", "of_host")
+    if size <= broadcast_bytes:
         hosts = F.broadcast(hosts)
     out = failed.join(hosts, F.col("host").eqNullSafe(F.col("of_host")), "left")
     soft = F.array_compact(F.array(*(F.when(F.col(f"f_{r}"), F.lit(r)) for r in tests)))
