@@ -12,7 +12,7 @@ and meet the targets as far as the cells allow.
 
 The topic of a text, unless there is a column for it, is its form: tables, markup, long, short.
 Null and empty texts have no tokens and are kept with probability 0; cells of no tokens take no
-part.  Null sources and languages are values of their own; a document with a null id is sampled as
+part.  Null sources, languages and topics are values of their own; a document with a null id is sampled as
 the empty string is; rows that repeat an id are sampled alike; an empty table gives an empty
 result.  Extra columns stay, whatever their names: the operator's own start with ``__mix_``.
 """
@@ -40,10 +40,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     """Documents with __mix_words and the three dimensions as __mix_<name>."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.regexp_count(text, F.lit(WORD)).cast("long")
+    own = [c for c in docs.columns if c.lower() == "topic"]
     docs = docs.withColumn("__mix_words", words)
     return docs.withColumns({
         "__mix_source": F.coalesce(F.col("source").cast("string"), F.lit(NONE)), "__mix_lang": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)),
-        "__mix_topic": topic(text, F.col("__mix_words")),
+        "__mix_topic": F.coalesce(F.col(own[0]).cast("string"), F.lit(NONE)) if own else topic(text, F.col("__mix_words")),
     })
 
 
@@ -134,29 +135,39 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def _fitted_sql(rows: str, by: str, goal: str, order: str, columns: str) -> str:
+    """``fitted`` in SQL: ``columns`` and the new weight."""
+    part = f"PARTITION BY {by} " if by else ""
+    over = f"({part}ORDER BY ratio, {order} ROWS BETWEEN"
+    step = f"SELECT *, cap / weight AS ratio FROM {rows}"
+    step = f"SELECT *, ({goal} - coalesce(sum(cap) OVER {over} UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER {over} CURRENT ROW AND UNBOUNDED FOLLOWING) AS f FROM ({step})"
+    step = f"SELECT *, coalesce(max(CASE WHEN f <= ratio * (1 + 1e-12::DOUBLE) THEN f END) OVER ({part}), max(ratio) OVER ({part})) AS factor FROM ({step})"
+    return f"SELECT {columns}, weight * factor AS weight FROM ({step})"
+
+
 def _sql(budget: float = 0.7, temper: float = 0.7, sweeps: int = 8) -> str:
-    """The same raking, a table for each step."""
+    """The same raking with caps, a table for each step."""
     steps = [
         r"""k AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, chr(0)) AS source, coalesce(lang, chr(0)) AS lang,
   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n FROM documents)""",
         """d AS (SELECT doc_id, source, lang, n, CASE WHEN 10 * (length(t) - length(replace(t, '|', ''))) > n THEN 'table'
   WHEN 10 * (length(t) - length(translate(t, '#*$%&<>', ''))) > n THEN 'markup' WHEN n >= 400 THEN 'long' ELSE 'short' END AS topic FROM k)""",
         "c AS (SELECT source, lang, topic, sum(n)::DOUBLE AS tokens FROM d WHERE n > 0 GROUP BY ALL)",
-        "w0 AS (SELECT *, sum(tokens) OVER () AS total, tokens / sum(tokens) OVER () AS weight FROM c)",
+        f"w0 AS (SELECT *, tokens / sum(tokens) OVER () AS weight, tokens / sum(tokens) OVER () / {budget}::DOUBLE AS cap FROM c)",
     ]
     for x in DIMS:
-        steps.append(f"u_{x} AS (SELECT {x}, pow(sum(weight), {temper}) AS up FROM w0 GROUP BY {x})")
-        steps.append(f"t_{x} AS (SELECT {x}, up / (SELECT sum(up) FROM u_{x}) AS target_{x} FROM u_{x})")
+        steps.append(f"u_{x} AS (SELECT {x}, pow(sum(weight), {temper}) AS weight, sum(cap) AS cap FROM w0 GROUP BY {x})")
+        steps.append(f"t_{x} AS (SELECT {x}, least(weight, cap) AS target_{x} FROM ({_fitted_sql(f'u_{x}', '', '1.0::DOUBLE', x, f'{x}, cap')}))")
     steps.append("r0 AS (SELECT w0.*, target_source, target_lang, target_topic FROM w0 JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic))")
     at = 0
     for _ in range(sweeps):
         for x in DIMS:
-            steps.append(f"r{at + 1} AS MATERIALIZED (SELECT * REPLACE (weight * target_{x} / sum(weight) OVER (PARTITION BY {x}) AS weight) FROM r{at})")
+            steps.append(f"r{at + 1} AS MATERIALIZED ({_fitted_sql(f'r{at}', x, f'target_{x}', 'source, lang, topic', 'source, lang, topic, cap, target_source, target_lang, target_topic')})")
             at += 1
     return "WITH " + ",\n".join(steps) + f"""
 SELECT doc_id, d.source, d.lang, d.topic, n AS n_tokens, floor(coalesce(weight, 0) * 1e6 + 0.5) / 1e6 AS weight,
   floor(p * 1e6 + 0.5) / 1e6 AS probability, ('0x' || substr(sha256(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < p AS kept
-FROM (SELECT d.*, weight, CASE WHEN n > 0 THEN least(1.0, {budget} * weight * total / tokens) ELSE 0.0 END AS p
+FROM (SELECT d.*, least(weight, cap) AS weight, CASE WHEN n > 0 THEN least(weight, cap) / cap ELSE 0.0 END AS p
       FROM d LEFT JOIN r{at} r ON d.source = r.source AND d.lang = r.lang AND d.topic = r.topic) d
 """
 
