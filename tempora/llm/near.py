@@ -174,6 +174,10 @@ def set_table(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("node", "d1", "d2", "text").mapInArrow(build, "node long, hashes array<long>")
 
 
+#: Of keys of a table (key): the lowest bit of a key says that it is of one of the first bands.
+EARLY = "key & 1"
+
+
 def _some(df: DataFrame, broadcast_bytes: int) -> DataFrame:
     """A written table, marked for broadcast where its files show that it is small."""
     return F.broadcast(df) if table_bytes(df) <= broadcast_bytes else df
@@ -296,10 +300,10 @@ def candidates(rows: DataFrame, percent: int, every: bool) -> DataFrame:
     return rows.mapInArrow(compare, "a long, b long").distinct()
 
 
-def buckets(spread: DataFrame) -> DataFrame:
-    """Keys that several nodes share, with their least node and number of nodes; of keys with the same nodes that of the least band."""
-    shared = spread.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("nodes"), F.bit_xor(F.xxhash64("node")).alias("all"), F.min("band").alias("band")).filter("least < most")
-    one = shared.groupBy("least", "most", "nodes", "all").agg(F.min(F.struct("band", "key")).alias("of"))
+def buckets(cells: DataFrame) -> DataFrame:
+    """Keys with their least node and number of nodes; of keys with the same nodes one, an early one if there is."""
+    every = cells.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("nodes"), F.bit_xor(F.xxhash64("node")).alias("all"))
+    one = every.groupBy("least", "nodes", "all").agg(F.max(F.struct(F.expr(EARLY).alias("early"), "key")).alias("of"))
     return one.select("of.key", "least", "nodes")
 
 
@@ -323,9 +327,14 @@ def dealt(live: DataFrame, block: int, wide: int) -> DataFrame:
     return live.withColumn("g", F.explode(F.when(is_top, over_others).otherwise(F.concat(over_tops, beside))))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, early: int = 6, block: int = 1024, wide: int = 1 << 16, most: int = 32, levels: int = 3, broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """Every row: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, early: int = 6, block: int = 1024, wide: int = 1 << 16, most: int = 32, levels: int = 3, broadcast_bytes: int = 32 << 20, small_bytes: int = 8 << 20) -> DataFrame:
+    """Every row: doc_id, n_shingles, component_id, kept.
+
+    ``early`` bands are looked at first; ``block``, ``wide``, ``most`` and ``levels`` bound what meets in
+    one task (see above); tables of at most ``broadcast_bytes``, and of keys and labels ``small_bytes``, as
+    their files show, are broadcast."""
     prepare(docs.sparkSession)
+    small = min(broadcast_bytes, small_bytes)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(signatures(docs, bands, rows, words).withColumn("row", F.monotonically_increasing_id()), "signed")
     # a node is the first row of a set; rep is the least id that has it
@@ -361,24 +370,32 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def labelled(cells: DataFrame) -> DataFrame:
         if labels is None:
             return cells.withColumn("label", F.col("node"))
-        return cells.join(_some(labels, 1 << 18), "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    def with_sets(cells: DataFrame) -> DataFrame:
-        return cells.join(banded.select("node", "n", "sig"), "node")
+        return cells.join(_some(labels, small), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
     join(twins)
-    spread = banded.select("node", F.posexplode("bands").alias("band", "key"))  # later levels' also have the band keys of the bucket
+    keyed = F.transform("bands", lambda k, i: F.when(i < early, k.bitwiseOR(F.lit(1))).otherwise(k.bitwiseAND(F.lit(-2))))
+    banded = banded.withColumn("bands", keyed)
+    spread = banded.select("node", F.explode("bands").alias("key"))  # later levels' also have the band keys of the bucket
+    sigs = None
     for level in range(levels):
-        shared = cut(buckets(spread), "shared")
-        cells = cut(spread.join(_some(shared, 1 << 18), "key"), "cells")
+        shared = spread.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("key")
+        shared = cut(shared, "shared")
+        cells = cut(spread.join(_some(shared, small), "key"), "cells")
+        kept = cut(buckets(cells), "kept")
         discard(shared, spread)
+        every, cells = cells, cut(cells.join(_some(kept, small), "key"), "cells")
+        discard(every, kept)
+        if sigs is None:  # of nodes that share a bucket
+            met = cut(cells.select("node").distinct(), "met")
+            sigs = cut(banded.select("node", "n", "sig").join(_some(met, broadcast_bytes), "node", "left_semi"), "sigs")
+            discard(met)
         if level == 0:
             # the least node is in every block, so that what is like it meets over the blocks
             blocks = F.ceil(F.col("nodes") / F.lit(block)).cast("int")
             salt = F.array(F.pmod(F.xxhash64("key", "node"), blocks).cast("int"))
-            first = labelled(cells.filter(F.col("band") < early))
+            first = labelled(cells.filter(f"{EARLY} = 1"))
             first = first.withColumn("block", F.explode(F.when(F.col("node") == F.col("least"), F.sequence(F.lit(0), blocks - 1)).otherwise(salt)))
-            link(candidates(with_sets(first).withColumn("g", F.xxhash64("key", "block")), percent, False))
+            link(candidates(first.join(sigs, "node").withColumn("g", F.xxhash64("key", "block")), percent, False))
         last, many, every, rounds = level == levels - 1, None, False, 0
         while True:
             named = labelled(cells.select("key", "node"))
@@ -386,10 +403,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             per_key = per_label.groupBy("key").agg(F.max(F.struct("own", "label")).alias("top"), F.sum("own").alias("nodes"))
             mixed = per_key.select("key", F.col("top.label").alias("top"), F.col("top.own").alias("top_nodes"), "nodes").filter("top_nodes < nodes")
             mixed = cut(mixed, "mixed")
-            live = cut(named.join(_some(mixed, 1 << 18), "key"), "live")
+            live = cut(named.join(_some(mixed, small), "key"), "live")
             too_many = F.col("nodes") - F.col("top_nodes") > block * most
             few = live if last else live.filter(~too_many)
-            some = link(candidates(with_sets(dealt(few, block, wide)), percent, every))
+            some = link(candidates(dealt(few, block, wide).join(sigs, "node"), percent, every))
             rounds += 1
             if every:
                 many = None if last else cut(live.filter(too_many).select("key", "node"), "many")
@@ -405,7 +422,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         used = F.col("used") if level else F.array("key")
         again = many.join(banded.select("node", "bands"), "node").select("node", used.alias("used"), F.explode("bands").alias("other"))
         again = again.filter(~F.array_contains("used", F.col("other"))).select("node", F.array_sort(F.array_append("used", F.col("other"))).alias("used")).distinct()
-        spread = cut(again.select("node", F.lit(0).alias("band"), F.xxhash64("used").alias("key"), "used"), "again")
+        spread = cut(again.select("node", F.xxhash64("used").alias("key"), "used"), "again")
         discard(cells)
 
     comp = members.select("doc_id", F.col("n").alias("n_shingles"), "node", "rep")
