@@ -2,7 +2,8 @@
 
 Intermediate tables are Parquet files below the folder that the cluster names in
 ``spark.checkpoint.dir``: every executor and the driver can read them, and they outlive any
-executor.  Only where that setting is absent (tests on one machine) a folder is made here.
+executor.  Only where that setting is absent on a single machine (tests) a folder is made here; on
+a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ def scratch(spark: SparkSession) -> str:
     """The shared folder of this session, as a URI without a trailing slash."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         base = "file://" + tempfile.mkdtemp(prefix="tempora-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

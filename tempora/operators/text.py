@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,7 +18,7 @@ def error_rate(target: Column, heard: Column) -> Column:
 
 def gross(target: Column, heard: Column) -> Column:
     """Whether the error rate is above one half, or the lengths' ratio outside 0.7 to 1.4."""
-    ratio = F.length(heard) / F.length(target)
+    ratio = F.length(heard) / F.nullif(F.length(target), F.lit(0))
     return (error_rate(target, heard) > 0.5) | ((F.length(target) > 0) & ((ratio < 0.7) | (ratio > 1.4)))
 
 
@@ -42,19 +42,21 @@ def units(text: Column) -> Column:
 def ranked_search(df: DataFrame, key: str, text: str, tokens: list[str], limit: int, every: bool = False) -> DataFrame:
     """Rows by number of matched tokens, then occurrences, then key; ``every`` needs all tokens."""
     lower = F.lower(F.coalesce(F.col(text), F.lit("")))
-    counts = [occurrences(lower, F.lit(t.lower())) for t in tokens]
+    counts = [occurrences(F.col("__lower"), F.lit(t.lower())) for t in tokens]
     matched = sum((F.when(c > 0, 1).otherwise(0) for c in counts), F.lit(0)).cast("long")
-    out = df.select(key, matched.alias("matched"), sum(counts, F.lit(0)).cast("long").alias("score"))
+    out = df.select(key, lower.alias("__lower")).select(key, matched.alias("matched"), sum(counts, F.lit(0)).cast("long").alias("score"))
     out = out.filter(F.col("matched") == len(tokens) if every else F.col("matched") > 0)
     return out.orderBy(F.desc("matched"), F.desc("score"), key).limit(limit)
 
 
 def words_in_time(df: DataFrame, keys: list[str], text: str, start: Column, end: Column) -> DataFrame:
-    """Words of a line with times in proportion to their lengths."""
-    words = F.filter(F.split(text, r"[ \n]+"), lambda w: w != "")
-    total = F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w))
-    rows = df.select(*keys, words.alias("__w"), total.alias("__n"), start.cast("double").alias("__s"), end.cast("double").alias("__e"))
-    rows = rows.select("*", F.posexplode("__w").alias("idx", "word"))
-    done = F.aggregate(F.slice("__w", F.lit(1), F.col("idx")), F.lit(0), lambda s, w: s + F.length(w))
+    """Words of a line with times in proportion to their lengths.
+
+    A running sum over the words of a line: each word is one small row, whatever the line's length."""
+    rows = df.select(*keys, F.monotonically_increasing_id().alias("__line"), F.filter(F.split(text, r"[ \n]+"), lambda w: w != "").alias("__w"), start.cast("double").alias("__s"), end.cast("double").alias("__e"))
+    rows = rows.select(*keys, "__line", "__s", "__e", F.posexplode("__w").alias("idx", "word"))
+    line = Window.partitionBy("__line", *keys)
+    upto = F.sum(F.length("word")).over(line.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"__upto": upto, "__n": F.sum(F.length("word")).over(line)})
     at = lambda n: F.col("__s") + (F.col("__e") - F.col("__s")) * n / F.col("__n")
-    return rows.select(*keys, F.col("idx").cast("long").alias("idx"), "word", at(done).alias("start"), at(done + F.length("word")).alias("end"))
+    return rows.select(*keys, F.col("idx").cast("long").alias("idx"), "word", at(F.col("__upto") - F.length("word")).alias("start"), at(F.col("__upto")).alias("end"))

@@ -171,13 +171,22 @@ def asof_forward(spark, sf):
 @query(f"""WITH {EV} SELECT c.user_id, c.us, c.event_id, min(abs(c.us - e.us)) AS distance, arg_min(e.event_id, (abs(c.us - e.us), e.event_id)) AS "match"
 FROM ev c JOIN ev e ON c.event_type = 'click' AND e.event_type = 'error' AND c.user_id = e.user_id AND abs(c.us - e.us) <= {2 * HOUR} GROUP BY ALL""")
 def nearest_within(spark, sf):
-    return jo.nearest(events(spark, sf, "click"), events(spark, sf, "error").select("user_id", "us", "event_id"), ["user_id"], "us", "event_id", 2 * HOUR)
+    found = jo.nearest(events(spark, sf, "click"), events(spark, sf, "error"), ["user_id"], "us", "event_id", 2 * HOUR)
+    return found.select("user_id", "us", "event_id", "distance", "match")
 
 
 @query(f"WITH {EV}, o AS (SELECT min(us) AS z FROM ev) SELECT event_id, least(3, (us - z) // {7 * 24 * HOUR}) AS tile FROM ev, o")
 def point_in_tile(spark, sf):
     e = events(spark, sf)
-    return e.join(F.broadcast(e.agg(F.min("us").alias("z")))).select("event_id", F.least(F.lit(3), F.floor((F.col("us") - F.col("z")) / F.lit(7 * 24 * HOUR))).cast("long").alias("tile"))
+    week = 7 * 24 * HOUR
+    tiles = e.agg(F.min("us").alias("z")).select("z", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("tile"))
+    tiles = tiles.select("tile", (F.col("z") + F.col("tile") * week).alias("s"), (F.col("z") + (F.col("tile") + 1) * week).alias("e"))
+    # weeks begin on days: a point can only lie in the tile of its day's first or last microsecond
+    day = lambda c: F.floor(c / F.lit(24 * HOUR)).cast("long")
+    parts = tiles.withColumn("day", F.explode(F.sequence(day(F.col("s")), day(F.col("e"))))).withColumn("s", F.greatest("s", F.col("day") * 24 * HOUR)).withColumn("e", F.least("e", (F.col("day") + 1) * 24 * HOUR)).filter("s < e")
+    points = e.withColumn("day", day(F.col("us"))).select("day", "us", "event_id")
+    found = jo.in_tile(points, parts, ["day"], "us", "s", "e", "tile")
+    return found.select("event_id", F.coalesce("tile", F.lit(3)).cast("long").alias("tile"))
 
 
 @query(f"""WITH {EV}, d AS (SELECT us // {24 * HOUR} AS day, count(*) AS n FROM ev GROUP BY 1), m AS (SELECT day, n, sum(n) OVER (ORDER BY day)::BIGINT - n AS base FROM d)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tempora.functions.sem import nearest_rank, six
+from tempora.functions.sem import six
+from tempora.operators import graphs as gr
 from tempora.operators import joins as jo
+from tempora.operators.quantiles import at_ranks, rank_rule
 
 from .catalog import query
 
@@ -65,18 +67,9 @@ def props_json(spark, sf):
 @query("""WITH a AS (SELECT l_returnflag, list_sort(list(l_extendedprice)) AS x FROM lineitem GROUP BY ALL), n AS (SELECT *, len(x) AS n FROM a)
 SELECT l_returnflag, x[floor(0.95 * (n - 1))::BIGINT + 1] AS lower95, x[least(floor(0.95 * n)::BIGINT, n - 1) + 1] AS count95, x[n // 2 + 1] AS upper_median, floor(median * 1e6 + 0.5) / 1e6 AS true_median FROM n JOIN (SELECT l_returnflag, median(l_extendedprice) AS median FROM lineitem GROUP BY ALL) USING (l_returnflag)""")
 def nearest_rank_rules(spark, sf):
-    # by sorted position, not by gathering a group: ranks come from a window over pre-counted prices
-    prices = t(spark, sf, "lineitem").groupBy("l_returnflag", "l_extendedprice").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("l_returnflag")
-    upto = F.sum("c").over(w.orderBy("l_extendedprice"))
-    r = prices.withColumns({"upto": upto, "n": F.sum("c").over(w)})
-    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("l_extendedprice")))
-    n = F.col("n")
-    out = r.groupBy("l_returnflag").agg(
-        at(F.floor(0.95 * (n - 1))).alias("lower95"), at(F.least(F.floor(0.95 * n), n - 1)).alias("count95"),
-        at(F.floor(n / 2)).alias("upper_median"), ((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2).alias("m"),
-    )
-    return out.select("l_returnflag", "lower95", "count95", "upper_median", six(F.col("m")).alias("true_median"))
+    ranks = {"lower95": rank_rule(0.95, "lower"), "count95": rank_rule(0.95, "count"), "upper_median": rank_rule(0.5, "upper_median"), "low": rank_rule(0.5, "lower_median")}
+    out = at_ranks(t(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", ranks)
+    return out.select("l_returnflag", "lower95", "count95", "upper_median", six((F.col("low") + F.col("upper_median")) / 2).alias("true_median"))
 
 
 @query("""WITH h AS (SELECT l_quantity::BIGINT AS bin, count(*) AS c FROM lineitem GROUP BY 1), u AS (SELECT bin, c, sum(c) OVER (ORDER BY bin) AS upto, sum(c) OVER () AS n FROM h)
@@ -119,21 +112,24 @@ def reuse_decision(spark, sf):
     return o.join(stored, F.col("k") == F.col("o_orderkey"), "left").select("o_orderkey", why.alias("decision"))
 
 
+def half_edges(spark, sf):
+    """Each nation needs the one of half its number."""
+    key = F.col("n_nationkey").cast("long")
+    return t(spark, sf, "nation").filter("n_nationkey > 0").select(key.alias("node"), F.floor(key / 2).cast("long").alias("needs"))
+
+
 EDGES = "SELECT n_nationkey AS a, n_nationkey // 2 AS b FROM nation WHERE n_nationkey > 0"
 
 
 @query(f"WITH RECURSIVE e AS ({EDGES}), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a::BIGINT AS a, b::BIGINT AS b FROM c")
 def closure(spark, sf):
-    t(spark, sf, "nation").createOrReplaceTempView("tempora_nation")
-    e = "SELECT n_nationkey AS a, CAST(n_nationkey DIV 2 AS INT) AS b FROM tempora_nation WHERE n_nationkey > 0"
-    return spark.sql(f"WITH RECURSIVE e AS ({e}), c (a, b) AS (SELECT a, b FROM e UNION ALL SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT DISTINCT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM c")
+    return gr.ancestors(half_edges(spark, sf)).select(F.col("node").alias("a"), F.col("ancestor").alias("b"))
 
 
 @query(f"WITH RECURSIVE e AS ({EDGES}), l AS (SELECT 0 AS node, 0 AS lvl UNION ALL SELECT e.a, lvl + 1 FROM l JOIN e ON e.b = l.node) SELECT node::BIGINT AS node, max(lvl)::BIGINT AS lvl FROM l GROUP BY node")
 def topo_levels(spark, sf):
-    t(spark, sf, "nation").createOrReplaceTempView("tempora_nation")
-    e = "SELECT n_nationkey AS a, CAST(n_nationkey DIV 2 AS INT) AS b FROM tempora_nation WHERE n_nationkey > 0"
-    return spark.sql(f"WITH RECURSIVE e AS ({e}), l (node, lvl) AS (SELECT 0, 0 UNION ALL SELECT e.a, lvl + 1 FROM l JOIN e ON e.b = l.node) SELECT CAST(node AS BIGINT) AS node, CAST(max(lvl) AS BIGINT) AS lvl FROM l GROUP BY node")
+    nodes = t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("node"))
+    return gr.topological(nodes, half_edges(spark, sf)).select("node", F.col("level").cast("long").alias("lvl"))
 
 
 @query("SELECT r_name, count(DISTINCT n_nationkey) AS nations, count(s_suppkey) AS suppliers FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY r_name")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tempora.functions.sem import changed_fraction, luminance, mean_abs_diff, rms, six
+from tempora.functions.sem import changed_fraction, contrast, luminance, mean_abs_diff, rms, six
 from tempora.operators import text as tx
 
 from .catalog import query
@@ -32,7 +32,7 @@ def ranked_search_all(spark, sf):
 
 
 ASCII = r"regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')"
-TURNS = f"c AS (SELECT conv_id, turn, left({ASCII}, 200) AS a, lead(left({ASCII}, 200)) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)"
+TURNS = f"c AS (SELECT conv_id, turn, {ASCII} AS a, lead({ASCII}) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)"
 
 
 def turns(spark, sf):
@@ -47,10 +47,7 @@ def cer_pairs(spark, sf):
 
 @query(f"WITH {TURNS} SELECT conv_id, turn, levenshtein(a, b)::DOUBLE / greatest(length(a), 1) > 0.5 OR (length(a) > 0 AND (length(b)::DOUBLE / length(a) < 0.7 OR length(b)::DOUBLE / length(a) > 1.4)) AS gross FROM c WHERE b IS NOT NULL")
 def gross_mismatch(spark, sf):
-    ratio = F.length("b") / F.nullif(F.length("a"), F.lit(0))
-    d = turns(spark, sf)
-    gross = (tx.error_rate(F.col("a"), F.col("b")) > 0.5) | ((F.length("a") > 0) & ((ratio < 0.7) | (ratio > 1.4)))
-    return d.select("conv_id", "turn", gross.alias("gross"))
+    return turns(spark, sf).select("conv_id", "turn", tx.gross(F.col("a"), F.col("b")).alias("gross"))
 
 
 @query(f"WITH {TURNS} SELECT conv_id, turn, length(a) = 0 OR ends_with(b, right(a, 2)) AS cleared FROM c WHERE b IS NOT NULL")
@@ -155,5 +152,5 @@ def _lin(c: str) -> str:
 @query(f"WITH c AS (SELECT vec_id, abs(embedding[1]::DOUBLE) AS r, abs(embedding[2]::DOUBLE) AS g, abs(embedding[3]::DOUBLE) AS b FROM embeddings), k AS (SELECT vec_id, 1.05 / (0.2126::DOUBLE * {_lin('r')} + 0.7152::DOUBLE * {_lin('g')} + 0.0722::DOUBLE * {_lin('b')} + 0.05) AS ratio FROM c) SELECT vec_id, floor(ratio * 1e6 + 0.5) / 1e6 AS ratio, CASE WHEN ratio < 3 THEN 'fail' WHEN ratio < 4.5 THEN 'large only' ELSE 'pass' END AS grade FROM k")
 def contrast_grade(spark, sf):
     c = [F.abs(F.col("embedding")[k].cast("double")) for k in range(3)]
-    ratio = 1.05 / (luminance(*c) + 0.05)
+    ratio = contrast(F.lit(1.0), luminance(*c))
     return t(spark, sf, "embeddings").select("vec_id", six(ratio).alias("ratio"), F.when(ratio < 3, "fail").when(ratio < 4.5, "large only").otherwise("pass").alias("grade"))
