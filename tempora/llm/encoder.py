@@ -18,6 +18,7 @@ import numpy as np
 MARKS = frozenset(".,")
 #: The public byte-level alphabet: printable bytes stand for themselves, the others follow at 256.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPACE = "\u0120"  # its letter for a space
 LETTERS = {b: b if b in PRINTABLE else 256 + sum(x not in PRINTABLE for x in range(b)) for b in range(256)}
 
 
@@ -29,18 +30,15 @@ def plain(word: str) -> bool:
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, keep: int = 250_000) -> None:
+    def __init__(self, path: str, keep: int = 500_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.keep = keep
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         line = self.whole("\n")
         #: The cache relies on a line feed being one pre-token of one id; else all texts go whole.
-        self.line = int(np.frombuffer(line, "<u4")[0]) if len(line) == 4 and self._splits() else None
+        self.words = Words(self, int(np.frombuffer(line, "<u4")[0]), keep) if len(line) == 4 and self._splits() else None
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -56,60 +54,47 @@ class Encoder:
         return array.array("I", [t.id for t in self.tokenizer.model.tokenize(token.encode().decode("latin-1").translate(LETTERS))]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.line is None:
+        if self.words is None:
             return [self.whole(t) for t in texts]
-        if len(self.young) > self.keep:
-            self.old, self.young = self.young, {}
-        split: list[list[str] | None] = []
-        used: set[str] = set()
+        get, out = self.words.__getitem__, []
         for t in texts:
-            if t and t.split() == t.replace("\n", " ").split(" ") and not any(s in t for s in self.special):
-                words = ("\n" + t.replace("\n", " \n")).split(" ")
-                used.update(words)
-                split.append(words)
+            flat = t.replace("\n", " ")
+            if t and " ".join(t.split()) == flat and not any(s in t for s in self.special):
+                out.append(b"".join(map(get, ("\n" + (flat if "\n" not in t else t.replace("\n", " \n"))).split(" ")))[4:])
             else:
-                split.append(None)
-        self._learn(used)
-        get = self.young.__getitem__
-        return [self.whole(t) if w is None else b"".join(map(get, w))[4:] for t, w in zip(texts, split, strict=True)]
-
-    def _learn(self, used: set[str]) -> None:
-        young, old = self.young, self.old
-        missing = []
-        marked = []
-        for w in used.difference(young):
-            if (known := old.get(w)) is not None:
-                young[w] = known
-            elif w[-1] in MARKS and plain(w[-2:-1]):
-                marked.append(w)  # a letter, then one mark: two pre-tokens
-            else:
-                missing.append(w)
-        line, others = array.array("I", [self.line]).tobytes(), []
-        for w in dict.fromkeys([*missing, *(w[:-1] for w in marked)]):
-            if w in young:
-                continue
-            if w[0] == "\n" and plain(w[1:]):
-                young[w] = line + self.letters(w[1:])
-            elif plain(w):
-                young[w] = self.letters(" " + w)
+                out.append(self.whole(t))
+        return out
+
+
+class Words(dict):
+    """The ids of words, each with the space or the line feed before it, learned as they come.
+
+    The last ``keep`` words are held, and as many from before them."""
+
+    def __init__(self, encoder: Encoder, line: int, keep: int) -> None:
+        self.encoder, self.line, self.keep = encoder, line, keep
+        self.tokenize, self.old, self.lines = encoder.tokenizer.model.tokenize, {}, array.array("I", [line]).tobytes()
+        self.marks = {m: encoder.whole(m) for m in MARKS}
+
+    def __missing__(self, w: str) -> bytes:
+        if len(self) > self.keep:
+            self.old = dict(self)
+            self.clear()
+        if (ids := self.old.get(w)) is None:
+            if w[-1] in MARKS and plain(w[-2:-1]):  # a letter, then one mark: two pre-tokens
+                ids = self[w[:-1]] + self.marks[w[-1]]
             else:
-                others.append(w)
-        missing = others
-        for a in range(0, len(missing), 4096):
-            some = missing[a : a + 4096]
-            # each word on a line of its own, with the space before it that it has in its text
-            joined = "\n".join(w[1:] if w[0] == "\n" else " " + w for w in some)
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.line), len(ids)).tolist()
-            if len(ends) != len(some):
-                raise ValueError("the tokenizer's line feeds don't separate words")
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(some, ends, strict=True):
-                young[w] = line + raw[4 * at : 4 * end] if w[0] == "\n" else raw[4 * at : 4 * end]
-                at = end + 1
-        marks = {m: self.whole(m) for m in MARKS} if marked else {}
-        for w in marked:
-            young[w] = young[w[:-1]] + marks[w[-1]]
+                body = w[1:] if (first := w[0] == "\n") else w
+                if body.isascii() and body.isalpha():
+                    found = [t.id for t in self.tokenize(body if first else SPACE + body)]
+                    ids = array.array("I", [self.line, *found] if first else found).tobytes()
+                else:
+                    part = body if first else " " + body
+                    ids = self.encoder.letters(part) if plain(body) else self.encoder.whole(part)
+                    if first:
+                        ids = self.lines + ids
+        self[w] = ids
+        return ids
 
 
 @functools.lru_cache(maxsize=2)

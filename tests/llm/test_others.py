@@ -193,3 +193,14 @@ def test_pipeline(spark, sf):
         path = fresh(spark, "stage")
         out.write.parquet(path)
         docs, ids = spark.read.parquet(path), got
+
+
+def test_words_are_learned_as_they_come():
+    import public_tokenizers
+
+    from tempora.llm.encoder import Encoder
+
+    enc = Encoder(public_tokenizers.path("byte_bpe_50k.json"), keep=5)
+    texts = ["One two, three.\nFour café. x1 one-two\nnatural", "", " a", "a\tb", "a  b", "the end.\nthe, the. a, .", "1. 你好, <|endoftext|>", "<|endoftext|>", *(f"w{chr(97 + i)} w{chr(98 + i)}," for i in range(20))]
+    assert [enc.encode([t])[0] for t in texts] == [enc.whole(t) for t in texts] == enc.encode(texts)
+    assert len(enc.words) <= 8 and len(enc.words.old) <= 8  # what is learned in one word's look-up goes beyond by two
