@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.functions.session import cut, discard, prepare
+from tempora.functions.session import cut, discard, freed, prepare
 
 from .textstats import base_counts
 
@@ -157,7 +157,7 @@ def _featured(docs: DataFrame) -> DataFrame:
                 x = [features(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
-    return docs.mapInArrow(build, "y int, x array<double>")
+    return docs.mapInArrow(freed(build), "y int, x array<double>")
 
 
 def fold(ident):
@@ -209,7 +209,7 @@ def good(docs: DataFrame, model: Model, *, cut_off: float = 0.3) -> DataFrame:
                 mask.extend((model.score(np.array(x, float)) >= cut_off).tolist())
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return docs.select(*names).mapInArrow(keep, docs.schema)
+    return docs.select(*names).mapInArrow(freed(keep), docs.schema)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tempora.functions.session import cut, partitions, prepare
+from tempora.functions.session import cut, freed, partitions, prepare
 
 SPACES = r"[\x20\x09-\x0D]+"
 SCHEMA = "doc_id long, text_sha256 string, shard int, run int, first boolean, local_keep long, local_size long, edge boolean, edge_text string"
@@ -126,7 +126,7 @@ def exact_keep(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays(columns, names=[*names, shard, run])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(shard, T.IntegerType()), T.StructField(run, T.LongType())])
-    kept = cut(rows.select(*names, norm).mapInArrow(firsts, schema), "kept")
+    kept = cut(rows.select(*names, norm).mapInArrow(freed(firsts), schema), "kept")
     # at most two rows a partition: its first and last text, compared in full with their neighbour
     ends = kept.groupBy(shard).agg(F.max(run).alias("last"))
     edges = kept.join(F.broadcast(ends), shard).filter((F.col(run) == 0) | (F.col(run) == F.col("last")))

@@ -1,7 +1,13 @@
 import itertools
 import random
 import re
+import tracemalloc
+import types
 
+import pyarrow as pa
+import pyarrow.compute
+
+from tempora.functions import session
 from tempora.llm import near
 from tempora.llm.components import components
 from tempora.llm.near import near_duplicates
@@ -155,3 +161,27 @@ def test_components_of_chains_and_stars(spark):
     for per_task in (40, 250, 500_000):  # by contraction between many tasks, between a few, and in one
         assert {r.node: r.label for r in components(table, per_task).collect()} == {x: find(x) for x in root}
     assert components(table.filter("a > 9999")).count() == 0
+
+
+def test_hashing_keeps_no_words():
+    tracemalloc.start()
+    for i in range(50):
+        near.word_hashes(" ".join(f"{i}x{j}" for j in range(2000)))
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 2_000_000  # 100,000 distinct words
+
+
+def test_a_task_gives_back_what_it_doesnt_use():
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.compute.add(batch.column(0), 1)], names=["x"])
+
+    pool, given = pa.default_memory_pool(), []
+    release = session.pa.default_memory_pool
+    session.pa.default_memory_pool = lambda: types.SimpleNamespace(release_unused=lambda: given.append(pool))
+    try:
+        out = list(session.freed(run)(iter([pa.RecordBatch.from_arrays([pa.array([1, 2])], names=["x"])])))
+    finally:
+        session.pa.default_memory_pool = release
+    assert out[0].column(0).to_pylist() == [2, 3] and len(given) == 1
