@@ -185,3 +185,16 @@ def test_a_task_gives_back_what_it_doesnt_use():
     finally:
         session.pa.default_memory_pool = release
     assert out[0].column(0).to_pylist() == [2, 3] and len(given) == 1
+
+
+def test_a_freed_task_drops_the_tokenizer():
+    """Before, a worker that had packed documents kept the tokenizer and its table of words for good."""
+    import public_tokenizers
+
+    from tempora.llm.encoder import encoder
+
+    path, text = public_tokenizers.path("byte_bpe_50k.json"), ["One two, three."]
+    first = encoder(path).encode(text)
+    assert encoder.cache_info().currsize
+    assert list(session.freed(lambda batches: batches)(iter([1, 2]))) == [1, 2]
+    assert not encoder.cache_info().currsize and encoder(path).encode(text) == first
