@@ -26,11 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tempora.functions.session import cut, prepare
+from tempora.functions.session import cut, freed, prepare
 
 from .encoder import chunks, encoder
 
 Recipe = tuple[tuple[int, ...], int]
+COUNTS = 1 << 20  # rows of counts that one task writes
 
 
 def patterns(hist: np.ndarray, anchors: int = 16) -> np.ndarray:
@@ -172,7 +173,9 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     """Every piece with its sequence and its place there."""
     spark: SparkSession = prepare(docs.sparkSession)
     cuts = cut(pieces(docs, tokenizer, id_col=id_col, text_col=text_col, end_id=end_id, capacity=capacity), "pieces")
-    counts = cut(cuts.groupBy("shard", "length").agg(F.count("*").alias("n")), "counts")
+    # a row for each length of a partition at most, so few files, whatever the number of shuffle partitions
+    files = -(-len(cuts.inputFiles()) * (capacity + 1) // COUNTS) or 1
+    counts = cut(cuts.groupBy("shard", "length").agg(F.count("*").alias("n")).coalesce(files), "counts")
     hist = np.zeros(capacity + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():  # a row for each length at most
         hist[length] = n
@@ -180,7 +183,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     begin = np.searchsorted(lengths, np.arange(capacity + 2))
 
     before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = cut(counts.select("shard", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
+    bases = cut(counts.select("shard", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")).coalesce(files), "bases")
     numbered = cuts.join(bases, ["shard", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("number") + F.col("base")).alias("number"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +198,8 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
                 raise ValueError("a piece has no slot")
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequences[at] + number - firsts[at]), pa.array(offsets[at])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return numbered.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # workers drop their table of words here, else they hold it beside what the join and the writing of all files need
+    return numbered.mapInArrow(freed(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -204,3 +204,22 @@ def test_words_are_learned_as_they_come():
     texts = ["One two, three.\nFour café. x1 one-two\nnatural", "", " a", "a\tb", "a  b", "the end.\nthe, the. a, .", "1. 你好, <|endoftext|>", "<|endoftext|>", *(f"w{chr(97 + i)} w{chr(98 + i)}," for i in range(20))]
     assert [enc.encode([t])[0] for t in texts] == [enc.whole(t) for t in texts] == enc.encode(texts)
     assert len(enc.words) <= 8 and len(enc.words.old) <= 8  # what is learned in one word's look-up goes beyond by two
+
+
+def test_packing_writes_counts_in_few_files(spark, docs, monkeypatch):
+    """Before, both small tables were written by as many tasks as there are shuffle partitions, each with its files and processes."""
+    written = {}
+    monkeypatch.setattr(packing, "cut", lambda df, tag, f=packing.cut: written.setdefault(tag, f(df, tag)))
+    want = sorted((str(r) for r in packing.pack(docs, PATH).collect()))
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    old = {c: spark.conf.get(c) for c in names}
+    try:
+        for c, v in zip(names, ("40", "false"), strict=True):
+            spark.conf.set(c, v)
+        written.clear()
+        got = sorted((str(r) for r in packing.pack(docs, PATH).collect()))
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert got == want
+    assert {t: len(written[t].inputFiles()) for t in ("counts", "bases")} == {"counts": 1, "bases": 1}
